@@ -95,15 +95,14 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
         from pyspark import TaskContext
 
         encoder = SegmentEncoder(vocabulary.value)
-        end = np.array([end_id], encoder.dtype).tobytes()
         pid = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 out: list[list[int]] = [[] for _ in range(6)]
-                for row, b in enumerate(encoder.encode(part.column(1).to_pylist())):
-                    ids = np.frombuffer(b + end, encoder.dtype).astype("<u4")
+                for row, x in enumerate(encoder.documents(part.column(1), end_id)):
+                    ids = x.astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         x = ids[start : start + capacity]
                         for column, v in zip(out, (row, piece, start, len(x), zlib.crc32(x.tobytes()), ranks[len(x)]), strict=True):

@@ -120,7 +120,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         from pyspark import TaskContext
 
         encoder = SegmentEncoder(vocabulary.value)
-        end = np.array([end_id], encoder.dtype).tobytes()
         part = TaskContext.get().partitionId()
         store, folder = _store(path)
         store.create_dir(folder, recursive=True)
@@ -141,13 +140,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                texts = piece.column(1).to_pylist()
-                for doc_id, b in zip(piece.column(0).to_pylist(), encoder.encode(texts), strict=True):
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
+                for doc_id, x in zip(piece.column(0).to_pylist(), encoder.documents(piece.column(1), end_id), strict=True):
                     ids.append(doc_id)
-                    held.append(b + end)
-                    size += len(b) // encoder.dtype.itemsize + 1
+                    held.append(x.tobytes())
+                    size += len(x)
                     if size >= file_tokens:
                         yield flush()
         if ids:
