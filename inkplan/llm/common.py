@@ -53,6 +53,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hash_share(*columns: Column) -> Column:
+    """From 0 to 1, by a hash: the order in which samples are taken."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / float(1 << 40)
+
+
+def likely_least(share: Column, most: int, total: Column | int) -> Column:
+    """Whether a row can be among the ``most`` least shares of ``total`` rows (all but surely).
+
+    Filtered by this, the rows that each task sorts and sends for a sample stay few, however many tasks there are.
+    """
+    return share <= (2.0 * most + 100) / F.greatest(F.lit(total) if isinstance(total, int) else total, F.lit(1))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; the cheaper lower() where a text is ASCII only."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import hash_share, likely_least, small
+
 #: Documents of each language, at most, of which its dictionary is made, and the dictionary's bytes.
 TRAINING_DOCS = 200
 DICTIONARY_BYTES = 64 << 10
@@ -16,6 +18,9 @@ DICTIONARY_BYTES = 64 << 10
 PIECE_BYTES = 2048
 LEVEL = 12
 MIN_MATCH = 3
+#: Shorter texts are compressed after this many bytes of the dictionary's end, and count what they add: alone, a few words cost as much with any dictionary.
+SHORT_BYTES = 256
+LEAD_BYTES = 48
 #: A text whose second best language needs less than this share more bytes than the best is rejected.
 MIN_MARGIN = 0.004
 UNDETERMINED = "und"
@@ -29,8 +34,11 @@ def train(labelled: DataFrame, docs_per_lang: int = TRAINING_DOCS, dictionary_by
     Fitted on at most ``docs_per_lang`` texts of a language, those with the least hashes, each cut to an even share of
     the dictionary by taking passages from all over it.
     """
+    known = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", hash_share(F.col("text")).alias("h"))
+    totals = small(known.groupBy("lang").agg(F.count("*").alias("total")))
     w = Window.partitionBy("lang").orderBy("h")
-    rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.xxhash64("text").alias("h"), "text")
+    rows = known.join(totals, "lang").where(likely_least(F.col("h"), docs_per_lang, F.col("total")))
+    rows = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies of one text count once
     picked = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= docs_per_lang)
     # passages of 160 characters, evenly spaced over the text
     n = F.lit(max(1, dictionary_bytes // (docs_per_lang * 160)) + 1)
@@ -53,21 +61,29 @@ class Classifier:
 
         self.langs = sorted(dictionaries)
         self.min_margin = min_margin
-        self._compress = []
+        self._compress, self._lead = [], []
         for lang in self.langs:
             size = max(1, len(dictionaries[lang]))
             how = z.ZstdCompressionParameters.from_level(LEVEL, source_size=PIECE_BYTES, dict_size=size, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
             d = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
             self._compress.append(z.ZstdCompressor(dict_data=d, compression_params=how).compress)
+            lead = dictionaries[lang][-LEAD_BYTES:]
+            self._lead.append((lead, len(self._compress[-1](lead))))
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """lang_pred, score, margin, rejected."""
         raw = letters(text or "")
         if not raw.strip() or not self.langs:
             return UNDETERMINED, 0.0, 0.0, True
+        if len(raw) < SHORT_BYTES:
+            sizes = sorted((max(1, len(c(lead + raw)) - alone), lang) for c, lang, (lead, alone) in zip(self._compress, self.langs, self._lead, strict=True))
+            return self._told(sizes)
         pieces = [raw[k : k + PIECE_BYTES] for k in range(0, len(raw), PIECE_BYTES)]
         sizes = sorted((sum(len(c(p)) for p in pieces), lang) for c, lang in zip(self._compress, self.langs, strict=True))
+        return self._told(sizes)
+
+    def _told(self, sizes: list[tuple[int, str]]) -> tuple[str, float, float, bool]:
         if len(sizes) == 1:
             return sizes[0][1], 1.0, 1.0, False
         margin = 1 - sizes[0][0] / sizes[1][0]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontamination, language_id, license_scan, line_dedup, near_dup, packing, sharding, token_files, toxicity
-from .common import crc_of_id, table
+from .common import crc_of_id, hash_share, likely_least, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = crc_of_id(F.col("doc_id")) % 5
     known = labels.where((fold != 0) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "label").limit(toxicity.TRAINING_DOCS)
+    h = hash_share(F.col("doc_id"))
+    known = known.where(likely_least(h, toxicity.TRAINING_DOCS, known.count())).orderBy(h, "label").limit(toxicity.TRAINING_DOCS)
     model = toxicity.train(docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label"))
     out = docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hash_share, likely_least, written
 
 #: Labelled documents that a classifier is fitted on, at most: those with the least hashes of their ids.
 TRAINING_DOCS = 20_000
@@ -105,8 +105,12 @@ def train(labelled: DataFrame, max_docs: int = TRAINING_DOCS, features: int = FE
     documents that have it over that of the others, is strongest for their number of documents. With one label only or
     none, all scores are the (smoothed) share of label 1.
     """
-    rows = labelled.where(F.col("label").isNotNull() & F.col("text").isNotNull()).select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("h"))
-    rows = written(rows.orderBy("h", "text").limit(max_docs), "labelled").repartition(F.col("h"))
+    rows = labelled.where(F.col("label").isNotNull() & F.col("text").isNotNull()).select("text", F.col("label").cast("int").alias("label"), hash_share(F.col("doc_id")).alias("h"))
+    total = rows.count()
+    rows = rows.where(likely_least(F.col("h"), max_docs, total))
+    if total > max_docs:
+        rows = rows.orderBy("h", "text").limit(max_docs)
+    rows = written(rows, "labelled").repartition(F.col("h"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << BITS), np.int32)
@@ -134,7 +138,7 @@ def train(labelled: DataFrame, max_docs: int = TRAINING_DOCS, features: int = FE
             found = [np.unique(p[p >= 0]).astype(np.int32).tobytes() for p in (place[grams(t)] for t in batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary())], ["label", "h", "grams"])
 
-    got = rows.select("text", "label", "h").mapInArrow(vectors, "label int, h long, grams binary").toPandas().sort_values(["h", "grams"])
+    got = rows.select("text", "label", "h").mapInArrow(vectors, "label int, h double, grams binary").toPandas().sort_values(["h", "grams"])
     w, bias = _fit([np.frombuffer(b, np.int32) for b in got["grams"]], (got["label"].to_numpy() > 0).astype(float), np.array([r["ratio"] for r in best]))
     weight[used] = w
     return Model(weight, bias)
