@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hash_share, likely_least, written
 
 #: Vectors that the forest is fitted on, at most: those with the least hashes of their ids.
 SAMPLE = 20_000
@@ -135,7 +135,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMP
     merged = repeated.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1).groupBy("h", "v").agg(F.collect_list("id").alias("ids"))
     distinct = written(ids.join(hot, "h", "left_anti").select("h", "v", "ids").unionByName(merged.select("h", "v", "ids")), "distinct-vectors")
 
-    picked = distinct.select("h", "v").orderBy("h").limit(sample).toPandas()["v"].tolist()
+    order = hash_share(F.col("h"))
+    picked = distinct.where(likely_least(order, sample, distinct.count())).select("v", order.alias("o")).orderBy("o", "v").limit(sample).toPandas()["v"].tolist()
     dims = pd.Series([len(x) for x in picked]).mode()
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(dims):
