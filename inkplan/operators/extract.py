@@ -1,6 +1,6 @@
 """Files of the supported formats to blocks, and what could not be converted.
 
-Blocks: doc_id, page, block_no, type, level, lines, raw. Outcomes: doc_id, item_count, error_type, error_message.
+Blocks: doc_id, page, block_no, type, level, lines, raw.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, parse_html
 from ..functions.text import is_blank, trim
-from .extract_text import text_blocks
+from .extract_text import text_block_array
+from .render import render_blocks
 
-BLOCKS = "doc_id long, page int, block_no int, type string, level int, lines array<string>, raw string"
-_PARSED = "doc_id long, block_no int, type string, level int, lines array<string>, raw string, item_count int, error_type string, error_message string"
+_BLOCK = pa.struct([("type", pa.string()), ("level", pa.int32()), ("lines", pa.list_(pa.string())), ("raw", pa.string())])
+_OUTCOME = [("blocks", pa.list_(_BLOCK)), ("item_count", pa.int32()), ("error_type", pa.string()), ("error_message", pa.string())]
+_OUTCOME_SQL = "blocks array<struct<type:string,level:int,lines:array<string>,raw:string>>, item_count int, error_type string, error_message string"
+_KEYS = "doc_id long, name string, format string"
 
 #: Formats that a parser turns into blocks. Plain text and Markdown are done by column functions.
 PARSERS: dict[str, Callable[[str], tuple[list[parse.Block], int]]] = {
@@ -25,63 +28,74 @@ PARSERS: dict[str, Callable[[str], tuple[list[parse.Block], int]]] = {
     "xml": parse.xml_blocks,
     "html": parse_html.html_blocks,
 }
-_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("block_no", pa.int32()), ("type", pa.string()), ("level", pa.int32()), ("lines", pa.list_(pa.string())), ("raw", pa.string()), ("item_count", pa.int32()), ("error_type", pa.string()), ("error_message", pa.string())]
-)
+
+
+def _keys(docs: DataFrame) -> list[Column]:
+    name = F.col("name") if "name" in docs.columns else F.lit(None)
+    return [F.col("doc_id").cast("long").alias("doc_id"), name.cast("string").alias("name"), F.col("format").cast("string").alias("format")]
 
 
 def _parsed(docs: DataFrame, parsers: dict[str, Callable]) -> DataFrame:
-    """Of ``docs(doc_id, format, text)``: a row for each block, and for each document one with block_no -1 and its outcome."""
+    """``docs(doc_id[, name], format, text)``, a row each, with blocks, item_count, error_type and error_message."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                part, out = batch.slice(at, 200), []
-                for doc_id, fmt, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                part = batch.slice(at, 200)
+                out: tuple[list, ...] = ([], [], [], [])
+                for fmt, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     try:
                         if text is None:
                             raise parse.Unconvertible("corrupt", f"Could not read the {fmt.upper()} file.")
                         blocks, count = parsers[fmt](text)
-                        out += [(doc_id, k, *b, None, None, None) for k, b in enumerate(blocks)]
-                        out.append((doc_id, -1, None, None, None, None, count, None, None))
+                        row = ([dict(zip(("type", "level", "lines", "raw"), b, strict=True)) for b in blocks], count, None, None)
                     except parse.Unconvertible as e:
-                        out.append((doc_id, -1, None, None, None, None, 0, e.kind, str(e)))
-                columns = list(zip(*out, strict=True)) or [()] * len(_ARROW)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+                        row = ([], 0, e.kind, str(e))
+                    for column, v in zip(out, row, strict=True):
+                        column.append(v)
+                made = [pa.array(c, t) for c, (_, t) in zip(out, _OUTCOME, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *made], ["doc_id", "name", "format", *(n for n, _ in _OUTCOME)])
+
+    return docs.select(*_keys(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{_KEYS}, {_OUTCOME_SQL}")
+
+
+def extracted(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id[, name], format, text)`` in any format but PDF, a row each: blocks, item_count, error_type, error_message.
+
+    A document stays in one row, so nothing is shuffled. Errors: unsupported (another format, or null), corrupt (a null
+    text or one that does not parse), noText. A blank text or Markdown file has no blocks and no error.
+    """
+    known = F.coalesce(F.col("format"), F.lit("unknown"))
+    plain = docs.where(known.isin("text", "markdown"))
+    text, name = F.col("text").cast("string"), F.col("name") if "name" in docs.columns else None
+    blocks, unread = text_block_array(text, name), text.isNull()
+    texts = plain.select(
+        *_keys(docs), F.coalesce(blocks, F.array()).alias("blocks"), F.coalesce(F.size(blocks), F.lit(0)).alias("item_count"),
+        F.when(unread, "corrupt").alias("error_type"), F.when(unread, "Could not read the text file.").alias("error_message"),
+    ).withColumn("item_count", F.greatest("item_count", F.lit(0)))
+    other = docs.where(~known.isin(*PARSERS, "text", "markdown", "pdf")).select(
+        *_keys(docs), F.array().cast(texts.schema["blocks"].dataType).alias("blocks"), F.lit(0).alias("item_count"), F.lit("unsupported").alias("error_type"), F.lit("This format is not supported.").alias("error_message")
+    )
+    return texts.unionByName(_parsed(docs.where(known.isin(*PARSERS)), PARSERS)).unionByName(other)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "format", "text").mapInArrow(run, _PARSED)
+def _of_format(docs: DataFrame, fmt: str) -> DataFrame:
+    return _parsed(docs.select("doc_id", F.lit(fmt).alias("format"), "text"), PARSERS)
 
 
 def parsed_blocks(docs: DataFrame, fmt: str) -> DataFrame:
-    """The blocks of ``docs(doc_id, text)``, all of one format; documents that can't be converted have none."""
-    rows = _parsed(docs.select("doc_id", F.lit(fmt).alias("format"), "text"), PARSERS)
-    return rows.where("block_no >= 0").select("doc_id", F.lit(0).alias("page"), "block_no", "type", "level", "lines", "raw")
+    """The blocks of ``docs(doc_id, text)``, all of one format, a row each; documents that can't be converted have none."""
+    return _of_format(docs, fmt).select("doc_id", F.lit(0).alias("page"), F.posexplode("blocks").alias("block_no", "b")).select("doc_id", "page", "block_no", "b.*")
 
 
 def parsed_outcomes(docs: DataFrame, fmt: str) -> DataFrame:
     """doc_id, item_count, error_type, error_message of ``docs(doc_id, text)``, all of one format."""
-    rows = _parsed(docs.select("doc_id", F.lit(fmt).alias("format"), "text"), PARSERS)
-    return rows.where("block_no < 0").select("doc_id", "item_count", "error_type", "error_message")
-
-
-def blocks_and_outcomes(docs: DataFrame) -> DataFrame:
-    """Of ``docs(doc_id, name, format, text)`` in any format but PDF: blocks, and a row with block_no -1 for each outcome."""
-    plain = docs.where(F.col("format").isin("text", "markdown"))
-    texts = plain.where(F.col("text").isNotNull())
-    empty = [F.lit(None).cast(t).alias(n) for n, t in (("item_count", "int"), ("error_type", "string"), ("error_message", "string"))]
-    made = text_blocks(texts).drop("page").select(F.col("doc_id").cast("long").alias("doc_id"), "block_no", "type", "level", "lines", "raw", *empty)
-    no_block = [F.lit(-1).alias("block_no"), *[F.lit(None).cast(t).alias(n) for n, t in (("type", "string"), ("level", "int"), ("lines", "array<string>"), ("raw", "string"))]]
-    counts = made.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
-    unread = F.col("text").isNull()
-    outcome = plain.join(counts, "doc_id", "left").select(
-        F.col("doc_id").cast("long").alias("doc_id"), *no_block, F.coalesce("n", F.lit(0)).alias("item_count"),
-        F.when(unread, "corrupt").alias("error_type"), F.when(unread, "Could not read the text file.").alias("error_message"),
-    )
-    known = [*PARSERS, "text", "markdown", "pdf"]
-    other = docs.where(~F.coalesce(F.col("format"), F.lit("unknown")).isin(known)).select(
-        F.col("doc_id").cast("long").alias("doc_id"), *no_block, F.lit(0).alias("item_count"), F.lit("unsupported").alias("error_type"), F.lit("This format is not supported.").alias("error_message")
-    )
-    return made.unionByName(outcome).unionByName(_parsed(docs.where(F.col("format").isin(list(PARSERS))), PARSERS)).unionByName(other)
+    return _of_format(docs, fmt).select("doc_id", "item_count", "error_type", "error_message")
+
+
+def parsed_markdown(docs: DataFrame, fmt: str) -> DataFrame:
+    """doc_id, markdown of ``docs(doc_id, text)``, all of one format; documents without blocks have no row."""
+    return _of_format(docs, fmt).where(F.size("blocks") > 0).select("doc_id", render_blocks(F.col("blocks")).alias("markdown"))
 
 
 # --- native forms of what simple inputs need

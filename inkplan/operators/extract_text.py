@@ -26,14 +26,22 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(parts, trim), lambda p: p != "")
 
 
+def text_block_array(text: Column, name: Column | None = None) -> Column:
+    """The blocks of a text as an array of structs (type, level, lines, raw): one raw block of Markdown, or the paragraphs.
+
+    A blank text has none; for a null text the array is null.
+    """
+    md = looks_like_markdown(text)
+    if name is not None:
+        md = md | F.coalesce(is_markdown_name(name), F.lit(False))
+    nothing = F.lit(None)
+    raw = F.struct(F.lit("raw").alias("type"), F.lit(0).alias("level"), nothing.cast("array<string>").alias("lines"), text.alias("raw"))
+    one = lambda p: F.struct(F.lit("paragraph").alias("type"), F.lit(0).alias("level"), F.array(p).alias("lines"), nothing.cast("string").alias("raw"))
+    return F.when(md & ~is_blank(text), F.array(raw)).otherwise(F.transform(paragraphs(text), one))
+
+
 def text_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of ``docs(doc_id, text[, name])``: one raw block of Markdown, or the paragraphs. A null text has none."""
-    name = F.col("name") if "name" in docs.columns else F.lit(None).cast("string")
-    md = looks_like_markdown(F.col("text")) | F.coalesce(is_markdown_name(name), F.lit(False))
-    # items: the raw text itself, or each paragraph
-    items = F.when(is_blank(F.col("text")), F.array().cast("array<string>")).when(md, F.array("text")).otherwise(paragraphs(F.col("text")))
-    each = docs.select("doc_id", F.coalesce(md, F.lit(False)).alias("md"), F.posexplode(items).alias("block_no", "item"))
-    return each.select(
-        "doc_id", F.lit(0).alias("page"), "block_no", F.when(F.col("md"), "raw").otherwise("paragraph").alias("type"), F.lit(0).alias("level"),
-        F.when(~F.col("md"), F.array("item")).alias("lines"), F.when(F.col("md"), F.col("item")).alias("raw"),
-    )
+    """Blocks of ``docs(doc_id, text[, name])``, a row each."""
+    name = F.col("name") if "name" in docs.columns else None
+    each = docs.select("doc_id", F.posexplode(text_block_array(F.col("text"), name)).alias("block_no", "b"))
+    return each.select("doc_id", F.lit(0).alias("page"), "block_no", "b.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import output_name
+
 #: What an error says if the conversion gave no message.
 ERROR_TEXTS = {
     "encrypted": "This file is protected.",
@@ -45,16 +47,14 @@ def batch_warning(jobs: DataFrame, many: int = 10, long: int = 100) -> DataFrame
     return sums.select(kind.alias("warning"), F.when(kind == "large_file", F.col("name")).alias("name"), F.col("n").alias("all_jobs"))
 
 
-def job_table(inputs: DataFrame, outcomes: DataFrame, markdown: DataFrame) -> DataFrame:
-    """jobs: doc_id, name, format, status, page_count, error_type, error_message, output_name, content.
+def job_table(results: DataFrame) -> DataFrame:
+    """jobs of ``results(doc_id, name, format, markdown, item_count, error_type, error_message)``: doc_id, name, format,
+    status, page_count, error_type, error_message, output_name, content.
 
-    Conversions run for all inputs; one with an error is failed and has no content.
+    One with an error is failed and has no content.
     """
-    from ..functions.text import output_name
-
-    joined = inputs.select("doc_id", "name", "format").join(outcomes, "doc_id", "left").join(markdown, "doc_id", "left")
     failed = F.col("error_type").isNotNull()
-    return joined.select(
+    return results.select(
         "doc_id", "name", "format", F.when(failed, "failed").otherwise("done").alias("status"), F.coalesce("item_count", F.lit(0)).alias("page_count"), "error_type",
         F.when(failed, error_text(F.col("error_type"), F.col("error_message"))).alias("error_message"), output_name(F.col("name")).alias("output_name"),
         F.when(~failed, F.coalesce("markdown", F.lit(""))).alias("content"),

@@ -25,6 +25,11 @@ def render_block(kind: Column, level: Column, text: Column, raw: Column) -> Colu
     )
 
 
+def render_blocks(blocks: Column) -> Column:
+    """The Markdown of an array of block structs, with blank lines between them; no shuffle, as a document is one row."""
+    return F.array_join(F.transform(blocks, lambda b: render_block(b["type"], b["level"], F.array_join(b["lines"], "\n"), b["raw"])), "\n")
+
+
 def render_documents(blocks: DataFrame) -> DataFrame:
     """One Markdown text for each doc_id, its blocks in the order of page and block_no, with blank lines between."""
     text = F.array_join("lines", "\n")

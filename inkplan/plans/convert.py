@@ -2,40 +2,51 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LayoutConfig
-from ..operators.extract import blocks_and_outcomes
-from ..operators.extract_text import text_blocks
+from ..operators.extract import extracted
+from ..operators.extract_text import text_block_array
 from ..operators.jobs import job_table
 from ..operators.layout import doc_stats, layout_blocks
-from ..operators.render import render_documents
+from ..operators.render import render_blocks, render_documents
 from ..sources.files import decoded
 from ..sources.pdf import Reader, read_pages, scan_spans
 
 
 def text_markdown(docs: DataFrame) -> DataFrame:
-    """doc_id, markdown of ``docs(doc_id, text)``; a blank text gives no row."""
-    return render_documents(text_blocks(docs))
+    """doc_id, markdown of ``docs(doc_id, text)``; a blank or null text gives no row. Nothing is shuffled."""
+    blocks = docs.select("doc_id", text_block_array(F.col("text")).alias("blocks"))
+    return blocks.where(F.size("blocks") > 0).select("doc_id", render_blocks(F.col("blocks")).alias("markdown"))
 
 
 def spans_markdown(spans: DataFrame, pages: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
     return render_documents(layout_blocks(spans, doc_stats(pages, config), config))
 
 
-def convert(inputs: DataFrame, config: LayoutConfig = LayoutConfig(), strict: bool = False, pdf_reader: Reader = read_pages) -> DataFrame:
-    """jobs of ``inputs(doc_id, name, content, format)`` in all formats."""
-    texts = decoded(inputs.where("format is null or format <> 'pdf'"), strict)
-    rows = blocks_and_outcomes(texts)
-    blocks = rows.where("block_no >= 0").select("doc_id", F.lit(0).alias("page"), "block_no", "type", "level", "lines", "raw")
-    outcomes = rows.where("block_no < 0").select("doc_id", "item_count", "error_type", "error_message")
-    spans, pages, opened = scan_spans(inputs.where("format = 'pdf'"), pdf_reader)
+def convert_pdf(inputs: DataFrame, config: LayoutConfig = LayoutConfig(), reader: Reader = read_pages) -> DataFrame:
+    """doc_id, name, format, markdown, item_count, error_type, error_message of ``inputs(doc_id, name, format, content)``.
+
+    Statistics and layout both need what the reader gives: the files are read once, into a cache that Spark can spill
+    and recompute.
+    """
+    spans, pages, opened = scan_spans(inputs, reader, StorageLevel.DISK_ONLY)
     stats = doc_stats(pages, config)
-    blocks = blocks.unionByName(layout_blocks(spans, stats, config))
-    scanned = F.coalesce("likely_scanned", F.lit(False))
-    pdf = opened.join(stats.select("doc_id", "likely_scanned"), "doc_id", "left").select(
-        "doc_id", F.col("page_count").alias("item_count"), F.when(F.col("error_type").isNull() & scanned, "noText").otherwise(F.col("error_type")).alias("error_type"),
-        F.when(F.col("error_type").isNull() & scanned, "The document looks scanned; without text recognition there is nothing to convert.").otherwise(F.col("error_message")).alias("error_message"),
+    scanned = F.col("error_type").isNull() & F.coalesce("likely_scanned", F.lit(False))
+    found = opened.join(stats.select("doc_id", "likely_scanned"), "doc_id", "left").join(render_documents(layout_blocks(spans, stats, config)), "doc_id", "left")
+    return inputs.select(F.col("doc_id").cast("long").alias("doc_id"), "name", "format").join(found, "doc_id", "left").select(
+        "doc_id", "name", "format", "markdown", F.col("page_count").alias("item_count"), F.when(scanned, "noText").otherwise(F.col("error_type")).alias("error_type"),
+        F.when(scanned, "The document looks scanned; without text recognition there is nothing to convert.").otherwise(F.col("error_message")).alias("error_message"),
     )
-    return job_table(inputs, outcomes.unionByName(pdf), render_documents(blocks))
+
+
+def convert(inputs: DataFrame, config: LayoutConfig = LayoutConfig(), strict: bool = False, pdf_reader: Reader = read_pages) -> DataFrame:
+    """jobs of ``inputs(doc_id, name, content, format)`` in all formats, a row each.
+
+    Only PDF files are shuffled, by document and page; all others are converted where they are read.
+    """
+    rows = extracted(decoded(inputs.where("format is null or format <> 'pdf'"), strict))
+    rest = rows.select("doc_id", "name", "format", render_blocks(F.col("blocks")).alias("markdown"), "item_count", "error_type", "error_message")
+    return job_table(rest.unionByName(convert_pdf(inputs.where("format = 'pdf'"), config, pdf_reader)))

@@ -387,7 +387,7 @@ def html_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.render_documents(extract.parsed_blocks(_html(spark, sf_dir), "html"))
+    return extract.parsed_markdown(_html(spark, sf_dir), "html")
 
 
 # --- jobs

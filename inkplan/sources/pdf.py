@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,8 +143,11 @@ def read_pages(data: bytes) -> list[list[Span]]:
 Reader = Callable[[bytes], list[list[Span]]]
 
 
-def scan_spans(inputs: DataFrame, reader: Reader = read_pages) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of ``inputs(doc_id, content)``: spans, light_pages, and outcomes (doc_id, page_count, error_type, error_message)."""
+def scan_spans(inputs: DataFrame, reader: Reader = read_pages, keep: StorageLevel | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``inputs(doc_id, content)``: spans, light_pages, and outcomes (doc_id, page_count, error_type, error_message).
+
+    With ``keep`` the rows that all three come from are cached.
+    """
     schema = "doc_id long, page int, seq int, text string, x_left double, x_right double, y_bottom double, y_top double, font_size double, page_count int, error_type string, error_message string"
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5, pa.int32(), pa.string(), pa.string()]
@@ -166,6 +170,8 @@ def scan_spans(inputs: DataFrame, reader: Reader = read_pages) -> tuple[DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     rows = inputs.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, schema)
+    if keep is not None:
+        rows = rows.persist(keep)
     spans = rows.where("seq is not null").select(*[c.split()[0] for c in SPANS.split(", ")])
     heights = F.collect_list(F.when(F.col("font_size") > 0, F.col("font_size")))
     pages = rows.where("page is not null").groupBy("doc_id", "page").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("int").alias("char_count"), heights.alias("line_heights"))
