@@ -59,11 +59,12 @@ def _parsed(docs: DataFrame, parsers: dict[str, Callable]) -> DataFrame:
     return docs.select(*_keys(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{_KEYS}, {_OUTCOME_SQL}")
 
 
-def extracted(docs: DataFrame) -> DataFrame:
+def extracted(docs: DataFrame, parsers: dict[str, Callable] = PARSERS) -> DataFrame:
     """``docs(doc_id[, name], format, text)`` in any format but PDF, a row each: blocks, item_count, error_type, error_message.
 
     A document stays in one row, so nothing is shuffled. Errors: unsupported (another format, or null), corrupt (a null
-    text or one that does not parse), noText. A blank text or Markdown file has no blocks and no error.
+    text or one that does not parse), noText. A blank text or Markdown file has no blocks and no error. ``parsers`` may
+    have functions for further formats.
     """
     known = F.coalesce(F.col("format"), F.lit("unknown"))
     plain = docs.where(known.isin("text", "markdown"))
@@ -73,10 +74,10 @@ def extracted(docs: DataFrame) -> DataFrame:
         *_keys(docs), F.coalesce(blocks, F.array()).alias("blocks"), F.coalesce(F.size(blocks), F.lit(0)).alias("item_count"),
         F.when(unread, "corrupt").alias("error_type"), F.when(unread, "Could not read the text file.").alias("error_message"),
     ).withColumn("item_count", F.greatest("item_count", F.lit(0)))
-    other = docs.where(~known.isin(*PARSERS, "text", "markdown", "pdf")).select(
+    other = docs.where(~known.isin(*parsers, "text", "markdown", "pdf")).select(
         *_keys(docs), F.array().cast(texts.schema["blocks"].dataType).alias("blocks"), F.lit(0).alias("item_count"), F.lit("unsupported").alias("error_type"), F.lit("This format is not supported.").alias("error_message")
     )
-    return texts.unionByName(_parsed(docs.where(known.isin(*PARSERS)), PARSERS)).unionByName(other)
+    return texts.unionByName(_parsed(docs.where(known.isin(*parsers)), parsers)).unionByName(other)
 
 
 def _of_format(docs: DataFrame, fmt: str) -> DataFrame:

@@ -48,14 +48,15 @@ def batch_warning(jobs: DataFrame, many: int = 10, long: int = 100) -> DataFrame
 
 
 def job_table(results: DataFrame) -> DataFrame:
-    """jobs of ``results(doc_id, name, format, markdown, item_count, error_type, error_message)``: doc_id, name, format,
-    status, page_count, error_type, error_message, output_name, content.
+    """jobs of ``results(doc_id, name, format, markdown, item_count, failed_pages, body_font_size, error_type,
+    error_message)``: doc_id, name, format, status, page_count, failed_pages (from 1), body_font_size, error_type,
+    error_message, output_name, content.
 
-    One with an error is failed and has no content.
+    One with an error is failed and has no content; one with failed pages is done with the others.
     """
     failed = F.col("error_type").isNotNull()
     return results.select(
-        "doc_id", "name", "format", F.when(failed, "failed").otherwise("done").alias("status"), F.coalesce("item_count", F.lit(0)).alias("page_count"), "error_type",
+        "doc_id", "name", "format", F.when(failed, "failed").otherwise("done").alias("status"), F.coalesce("item_count", F.lit(0)).alias("page_count"), "failed_pages", "body_font_size", "error_type",
         F.when(failed, error_text(F.col("error_type"), F.col("error_message"))).alias("error_message"), output_name(F.col("name")).alias("output_name"),
         F.when(~failed, F.coalesce("markdown", F.lit(""))).alias("content"),
     )

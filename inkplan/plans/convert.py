@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LayoutConfig
-from ..operators.extract import extracted
+from ..operators.extract import PARSERS, extracted
 from ..operators.extract_text import text_block_array
 from ..operators.jobs import job_table
 from ..operators.layout import doc_stats, layout_blocks
@@ -27,7 +29,7 @@ def spans_markdown(spans: DataFrame, pages: DataFrame, config: LayoutConfig = La
 
 
 def convert_pdf(inputs: DataFrame, config: LayoutConfig = LayoutConfig(), reader: Reader = read_pages) -> DataFrame:
-    """doc_id, name, format, markdown, item_count, error_type, error_message of ``inputs(doc_id, name, format, content)``.
+    """doc_id, name, format, markdown, item_count, failed_pages, body_font_size, error_type, error_message of ``inputs(doc_id, name, format, content)``.
 
     Statistics and layout both need what the reader gives: the files are read once, into a cache that Spark can spill
     and recompute.
@@ -35,18 +37,18 @@ def convert_pdf(inputs: DataFrame, config: LayoutConfig = LayoutConfig(), reader
     spans, pages, opened = scan_spans(inputs, reader, StorageLevel.DISK_ONLY)
     stats = doc_stats(pages, config)
     scanned = F.col("error_type").isNull() & F.coalesce("likely_scanned", F.lit(False))
-    found = opened.join(stats.select("doc_id", "likely_scanned"), "doc_id", "left").join(render_documents(layout_blocks(spans, stats, config)), "doc_id", "left")
+    found = opened.join(stats.select("doc_id", "likely_scanned", "body_font_size"), "doc_id", "left").join(render_documents(layout_blocks(spans, stats, config)), "doc_id", "left")
     return inputs.select(F.col("doc_id").cast("long").alias("doc_id"), "name", "format").join(found, "doc_id", "left").select(
-        "doc_id", "name", "format", "markdown", F.col("page_count").alias("item_count"), F.when(scanned, "noText").otherwise(F.col("error_type")).alias("error_type"),
+        "doc_id", "name", "format", "markdown", F.col("page_count").alias("item_count"), "failed_pages", "body_font_size", F.when(scanned, "noText").otherwise(F.col("error_type")).alias("error_type"),
         F.when(scanned, "The document looks scanned; without text recognition there is nothing to convert.").otherwise(F.col("error_message")).alias("error_message"),
     )
 
 
-def convert(inputs: DataFrame, config: LayoutConfig = LayoutConfig(), strict: bool = False, pdf_reader: Reader = read_pages) -> DataFrame:
+def convert(inputs: DataFrame, config: LayoutConfig = LayoutConfig(), strict: bool = False, pdf_reader: Reader = read_pages, parsers: dict[str, Callable] = PARSERS) -> DataFrame:
     """jobs of ``inputs(doc_id, name, content, format)`` in all formats, a row each.
 
     Only PDF files are shuffled, by document and page; all others are converted where they are read.
     """
-    rows = extracted(decoded(inputs.where("format is null or format <> 'pdf'"), strict))
-    rest = rows.select("doc_id", "name", "format", render_blocks(F.col("blocks")).alias("markdown"), "item_count", "error_type", "error_message")
+    rows = extracted(decoded(inputs.where("format is null or format <> 'pdf'"), strict), parsers)
+    rest = rows.select("doc_id", "name", "format", render_blocks(F.col("blocks")).alias("markdown"), "item_count", F.array().cast("array<int>").alias("failed_pages"), F.lit(None).cast("double").alias("body_font_size"), "error_type", "error_message")
     return job_table(rest.unionByName(convert_pdf(inputs.where("format = 'pdf'"), config, pdf_reader)))

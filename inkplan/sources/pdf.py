@@ -105,8 +105,8 @@ def _show(content: bytes) -> Iterator[Span]:
             args = []
 
 
-def read_pages(data: bytes) -> list[list[Span]]:
-    """The spans of each page, in the order in which they are drawn."""
+def read_pages(data: bytes) -> list[list[Span] | None]:
+    """The spans of each page, in the order in which they are drawn; None for a page that can't be read."""
     if not data.startswith(b"%PDF"):
         raise Unconvertible("corrupt", "Not a PDF file.")
     if b"/Encrypt" in data:
@@ -120,7 +120,7 @@ def read_pages(data: bytes) -> list[list[Span]]:
         m = re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
         return [int(r) for r in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if m else []
 
-    pages: list[list[Span]] = []
+    pages: list[list[Span] | None] = []
     todo, seen = refs(roots[-1], b"Pages"), set()
     while todo:
         k = todo.pop()
@@ -134,39 +134,41 @@ def read_pages(data: bytes) -> list[list[Span]]:
             try:
                 pages.append(list(_show(b"\n".join(_stream(objects[c]) for c in refs(objects[k], b"Contents") if c in objects))))
             except (zlib.error, ValueError):
-                pages.append([])
+                pages.append(None)
     if not pages:
         raise Unconvertible("corrupt", "The PDF has no pages.")
     return pages
 
 
-Reader = Callable[[bytes], list[list[Span]]]
+Reader = Callable[[bytes], list[list[Span] | None]]
 
 
 def scan_spans(inputs: DataFrame, reader: Reader = read_pages, keep: StorageLevel | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of ``inputs(doc_id, content)``: spans, light_pages, and outcomes (doc_id, page_count, error_type, error_message).
+    """Of ``inputs(doc_id, content)``: spans, light_pages, and outcomes (doc_id, page_count, failed_pages, error_type,
+    error_message). Failed pages count from 1 and have neither spans nor text.
 
     With ``keep`` the rows that all three come from are cached.
     """
-    schema = "doc_id long, page int, seq int, text string, x_left double, x_right double, y_bottom double, y_top double, font_size double, page_count int, error_type string, error_message string"
+    schema = "doc_id long, page int, seq int, text string, x_left double, x_right double, y_bottom double, y_top double, font_size double, page_count int, failed_pages array<int>, error_type string, error_message string"
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5, pa.int32(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5, pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                nothing = (None,) * 7
+                nothing = (None,) * 6
                 try:
                     pages = reader(content or b"")
-                    out = [(doc_id, None, None, *(None,) * 6, len(pages), None, None)]
+                    failed = [p + 1 for p, spans in enumerate(pages) if spans is None]
+                    out = [(doc_id, None, None, *nothing, len(pages), failed, None, None)]
                     for p, spans in enumerate(pages):
-                        out.append((doc_id, p, None, *nothing[:6], None, None, None))
+                        out.append((doc_id, p, None, *nothing, None, None, None, None))
                         out += [
-                            (doc_id, p, k, s.text, s.x, s.x + WIDTH * s.size * len(s.text), s.y, s.y + HEIGHT * s.size, HEIGHT * s.size, None, None, None)
-                            for k, s in enumerate(spans) if s.text not in ("\n", "\r\n")
+                            (doc_id, p, k, s.text, s.x, s.x + WIDTH * s.size * len(s.text), s.y, s.y + HEIGHT * s.size, HEIGHT * s.size, None, None, None, None)
+                            for k, s in enumerate(spans or []) if s.text not in ("\n", "\r\n")
                         ]
                 except Unconvertible as e:
-                    out = [(doc_id, None, None, *nothing[:6], 0, e.kind, str(e))]
+                    out = [(doc_id, None, None, *nothing, 0, [], e.kind, str(e))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     rows = inputs.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, schema)
@@ -175,7 +177,7 @@ def scan_spans(inputs: DataFrame, reader: Reader = read_pages, keep: StorageLeve
     spans = rows.where("seq is not null").select(*[c.split()[0] for c in SPANS.split(", ")])
     heights = F.collect_list(F.when(F.col("font_size") > 0, F.col("font_size")))
     pages = rows.where("page is not null").groupBy("doc_id", "page").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("int").alias("char_count"), heights.alias("line_heights"))
-    return spans, pages, rows.where("page_count is not null").select("doc_id", "page_count", "error_type", "error_message")
+    return spans, pages, rows.where("page_count is not null").select("doc_id", "page_count", "failed_pages", "error_type", "error_message")
 
 
 def write_pdf(pages: list[list[tuple[str, float, float, float]]], compress: bool = False) -> bytes:

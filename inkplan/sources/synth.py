@@ -43,6 +43,29 @@ def book_golden(spark: SparkSession, pages: int, chapter_every: int = 20) -> Dat
     return spark.range(pages).agg(F.array_join(F.sort_array(F.collect_list(F.struct("id", parts.alias("p"))))["p"], "").alias("markdown")).select(F.lit("book_single.md").alias("name"), "markdown")
 
 
+#: The rows of the generated report.
+_REPORT = [("Name", "Qty", "Price"), ("Apples", "10", "2.50"), ("Bananas", "20", "1.75"), ("Cherries", "5", "8.00")]
+_TITLE, _CLOSING = "Inventory Report", "End of table with plain text after."
+
+
+def report_items(spark: SparkSession) -> DataFrame:
+    """The items of a page with a title, rows that look like a table, and a closing line."""
+    rows = [(_TITLE, 20.0, 740.0)] + [(f"{a:<12}  {b:<6}  {c}", 12.0, 700.0 - 22 * k) for k, (a, b, c) in enumerate(_REPORT)]
+    rows.append((_CLOSING, 12.0, 700.0 - 22 * len(_REPORT) - 10))
+    return spark.createDataFrame([(0, k, t, size, 72.0, y) for k, (t, size, y) in enumerate(rows)], "page int, seq int, text string, font_size double, x double, y double")
+
+
+def report_golden(spark: SparkSession) -> DataFrame:
+    """name, markdown: the report with a paragraph for each row."""
+    rows = "\n".join(f"{a:<13}{b:<7}{c}" for a, b, c in _REPORT)
+    return spark.createDataFrame([("with_tables.md", f"# {_TITLE}\n\n{rows}\n\n{_CLOSING}\n")], "name string, markdown string")
+
+
+def light_pages(spans: DataFrame) -> DataFrame:
+    """doc_id, page, char_count, line_heights of spans that are a line each."""
+    return spans.groupBy("doc_id", "page").agg(F.sum(F.length("text")).cast("int").alias("char_count"), F.collect_list("font_size").alias("line_heights"))
+
+
 def pdf_of_items(items: DataFrame) -> bytes:
     """The items (of one small document) as a PDF file."""
     from .pdf import write_pdf

@@ -309,9 +309,20 @@ def test_convert(spark):
     assert got[2]["page_count"] == 2 and got[1]["content"] == "One.\n\nTwo.\n" and got[5]["content"] == "## T\n" and got[11]["content"] == "" and got[12]["content"] == "# x\n"
     assert got[6]["page_count"] == 3 and got[6]["content"].startswith("# Chapter 1\n\nPage 0 paragraph one") and got[6]["output_name"] == "f.md"
     assert got[3]["error_message"].startswith("Invalid JSON") and got[7]["output_name"] == "g.md"
+    assert got[6]["body_font_size"] == 11.5 and got[6]["failed_pages"] == []
     assert convert(inputs.limit(0)).count() == 0
 
 
+def test_convert_with_failed_pages_and_other_parsers(spark):
+    def reader(data):
+        return [[pdf.Span("First", 72.0, 700.0, 12.0)], None, [pdf.Span("three", 72.0, 700.0, 12.0)]]
+
+    parsers = extract.PARSERS | {"docx": lambda text: ([("heading", 2, [text], None)], 1)}
+    inputs = spark.createDataFrame([(1, "a.pdf", bytearray(b"%PDF"), "pdf"), (2, "b.docx", bytearray(b"x"), "docx")], "doc_id long, name string, content binary, format string")
+    got = {r["doc_id"]: r for r in convert(inputs, pdf_reader=reader, parsers=parsers).collect()}
+    assert (got[1]["status"], got[1]["page_count"], got[1]["failed_pages"], got[1]["content"]) == ("done", 3, [2], "First\n\nthree\n") and got[2]["content"] == "## x\n"
+
+
 def test_pdf_reader(spark):
     page = [("The (Quick) \\ Fox", 24.0, 72.0, 700.0), ("body", 12.0, 72.0, 660.0)]
     for compress in (False, True):
