@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_share, likely_least, written
+from .common import bounded_batches, hash_share, likely_least, written
 
 #: Vectors that the forest is fitted on, at most: those with the least hashes of their ids.
 SAMPLE = 20_000
@@ -27,6 +27,8 @@ TREES = 4
 LEAF = 128
 #: Rows of a leaf that one task searches at once; larger leaves are dealt to several.
 BLOCK = 8192
+#: Queries of a leaf that one task searches at once, about; rows are copied for each block of so many.
+QUERIES = 50_000
 #: Recall on the sample that the share of rows to visit is calibrated for.
 TARGET_RECALL = 0.95
 
@@ -124,6 +126,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMP
     are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = vectors.where(F.col("vec_id").isNotNull() & valid(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")
     )
@@ -163,6 +166,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMP
     for r in distinct.select("v").mapInArrow(leaf_counts, "t long, leaf long, n long").groupBy("t", "leaf").agg(F.sum("n").alias("n")).collect():  # a row for each leaf
         counts[r["t"], r["leaf"]] = r["n"]
     blocks = np.maximum(1, -(-counts // BLOCK))
+    # queries of a leaf are searched in blocks as well, each with all of the leaf's rows
+    ways = max(1, -(-rows.where("asks").count() // QUERIES))
     # so many rows of all trees together that one tree gives k + 1 of them at least
     enough = max(share * counts[0].sum(), trees * (k + 1))
 
@@ -172,7 +177,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMP
             leaves, h = f.leaves(_matrix(batch.column(1), dim)), batch.column(0).to_numpy()
             for t in range(leaves.shape[1]):
                 bucket = (t << f.depth | leaves[:, t]) << 24 | np.abs(h) % blocks[t, leaves[:, t]]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(1), batch.column(2)], ["bucket", "v", "ids"])
+                for way in range(ways):
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([way] * len(h), pa.int32()), batch.column(1), batch.column(2)], ["bucket", "way", "v", "ids"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
@@ -180,10 +186,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMP
             for i, x in enumerate(_matrix(batch.column(1), dim)):
                 to = [(t << f.depth | leaf) << 24 | b for t, leaf in f.visit(x, counts, enough) for b in range(blocks[t, leaf])]
                 one = pa.array([i] * len(to), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), batch.column(0).take(one), batch.column(1).take(one)], ["bucket", "query_id", "q"])
+                asks = batch.column(0).take(one)
+                way = pa.array(asks.to_numpy() // 7 % ways, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), way, asks, batch.column(1).take(one)], ["bucket", "way", "query_id", "q"])
 
-    leaves = distinct.select("h", "v", "ids").mapInArrow(place, "bucket long, v array<double>, ids array<long>")
-    asked = rows.where("asks").select("vec_id", "v").distinct().mapInArrow(route, "bucket long, query_id long, q array<double>")
+    leaves = distinct.select("h", "v", "ids").mapInArrow(place, "bucket long, way int, v array<double>, ids array<long>")
+    asked = rows.where("asks").select("vec_id", "v").distinct().mapInArrow(route, "bucket long, way int, query_id long, q array<double>")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -204,7 +212,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMP
                 out.append(pd.DataFrame({"query_id": q, "vec_id": e[best], "score": dd[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
 
-    found = leaves.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(search, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    found = leaves.groupBy("bucket", "way").cogroup(asked.groupBy("bucket", "way")).applyInPandas(search, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = re.compile(WORD_PATTERN)
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Rows of an Arrow batch at most.
+ARROW_ROWS = 2_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = str.maketrans(_UPPER, _UPPER.lower())
 
@@ -36,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold ARROW_ROWS at most from now on: whole texts come in them, to Python and through the JVM's buffers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_share, likely_least, small
+from .common import bounded_batches, hash_share, likely_least, small
 
 #: Documents of each language, at most, of which its dictionary is made, and the dictionary's bytes.
 TRAINING_DOCS = 200
@@ -34,6 +34,7 @@ def train(labelled: DataFrame, docs_per_lang: int = TRAINING_DOCS, dictionary_by
     Fitted on at most ``docs_per_lang`` texts of a language, those with the least hashes, each cut to an even share of
     the dictionary by taking passages from all over it.
     """
+    bounded_batches(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", hash_share(F.col("text")).alias("h"))
     totals = small(known.groupBy("lang").agg(F.count("*").alias("total")))
     w = Window.partitionBy("lang").orderBy("h")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ASCII_LOWER, py_words
+from .common import ASCII_LOWER, WORD, bounded_batches, py_words
 
 #: Phrases whose words must stand consecutively, and their labels.
 BASE_PHRASES = {
@@ -105,6 +105,7 @@ def build_index(docs: DataFrame, phrases: dict[str, str] | None = None, template
                     df[w] += 1
         yield pa.RecordBatch.from_pydict({"word": pa.array(["", *df], pa.string()), "n": pa.array([docs_seen, *df.values()], pa.int64())})
 
+    bounded_batches(docs.sparkSession)
     text = docs.select(F.col("text").cast("string").alias("text"))
     counts = {r["word"]: r["n"] for r in text.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     total = counts.pop("", 0)
@@ -129,5 +130,6 @@ def scan(docs: DataFrame, index: Index) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *(x.split()[0] for x in FOUND.split(", "))])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id long, {FOUND}")

@@ -3,7 +3,8 @@
 A sketch is the ``PICKED`` smallest hashes of a text's shingles, each labelled by its occurrence, kept in text order:
 two texts share one if they have the same shingles in the same order often enough. Texts that share a sketch are
 candidates. A bucket's texts are not paired with each other but with a few leaders, those with most company over all
-sketches first; only where texts are still unconnected do further leaders follow, until none is left.
+sketches. Where a bucket's texts are still in several components, an index of their shingles finds those pairs between
+components that may be linked, and these are aligned too.
 """
 
 from __future__ import annotations
@@ -12,17 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import py_words, small, words, written
+from .common import bounded_batches, py_words, small, words, written
 
 SHINGLE = 5
 #: Sketches of a text, and shingles in one: of pairs with similarity 0.8, 1 - (1 - 0.8**5)**20 = 99.96 % share one.
 SKETCHES = 20
 PICKED = 5
-#: Leaders of a bucket in the first round; each further round has twice as many.
+#: Texts of a bucket that all others of it are aligned with.
 LEADERS = 3
+#: Texts whose shingles are indexed together where a bucket's texts are still in several components.
+BLOCK = 2048
 _U = np.uint64
 
 
@@ -33,24 +36,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Sketcher:
-    """Sketches of lists of words."""
+    """Sketches of texts, given as the hashes (uint64) of their words."""
 
     def __init__(self, sketches: int = SKETCHES, picked: int = PICKED):
         self.picked = picked
         self._seeds = _mix(np.arange(1, sketches + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
         self._powers = _mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | _U(1)
-        self._cache: dict[str, int] = {}
 
-    def shingles(self, tokens: list[str]) -> np.ndarray:
-        """Hashes of the shingles; the whole text is one if it is shorter."""
-        import xxhash
-
-        cache = self._cache
-        if len(cache) > 500_000:
-            cache.clear()
-        for w in set(tokens).difference(cache):
-            cache[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
+    def shingles(self, h: np.ndarray) -> np.ndarray:
+        """Hashes of the shingles of a text with these hashes of words; the whole text is one if it is shorter."""
         k = min(SHINGLE, len(h))
         n = len(h) - k + 1
         out = np.zeros(n, np.uint64)
@@ -66,8 +60,8 @@ class Sketcher:
             out[at] = _mix(s + occurrence.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
         return out
 
-    def sketch(self, tokens: list[str]) -> np.ndarray:
-        x = self.shingles(tokens)
+    def sketch(self, h: np.ndarray) -> np.ndarray:
+        x = self.shingles(h)
         k = min(self.picked, len(x))
         out = np.empty(len(self._seeds), np.uint64)
         step = max(1, (1 << 20) // len(x))
@@ -154,32 +148,38 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     return result
 
 
-def _content(text) -> tuple:
-    joined = F.array_join(words(text), " ")
-    return F.when(F.length(joined) > 0, F.xxhash64(joined)), joined
+def _content(text: Column) -> Column:
+    """A hash of a text's words; null if it has none."""
+    tokens = words(text)
+    return F.when(F.size(tokens) > 0, F.xxhash64(tokens))
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """content, n (shingles) and sketches of every different text that has words."""
-    schema = "content long, n long, sketches array<long>"
+    """Of ``docs(doc_id, text)``: doc_id, content, n (shingles), sketches; the last two only where a task meets a content first."""
+    schema = "doc_id long, content long, n long, sketches array<long>"
+    tokens = docs.select("doc_id", words(F.col("text")).alias("w"))
+    keyed = tokens.select("doc_id", F.when(F.size("w") > 0, F.xxhash64("w")).alias("content"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, seen = Sketcher(), set()
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for content, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if content in seen:
+            ends, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(zero_copy_only=False).view(np.uint64)
+            n: list[int | None] = []
+            made: list[np.ndarray | None] = []
+            for k, content in enumerate(batch.column(1).to_pylist()):
+                if content is None or content in seen:
+                    n.append(None)
+                    made.append(None)
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 500_000:
                     seen.clear()
                 seen.add(content)
-                tokens = py_words(text)
-                out[0].append(content)
-                out[1].append(max(1, len(tokens) - SHINGLE + 1))
-                out[2].append(maker.sketch(tokens))
-            yield pa.RecordBatch.from_pydict({"content": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "sketches": pa.array(out[2], pa.list_(pa.int64()))})
+                h = flat[ends[k] : ends[k + 1]]
+                n.append(max(1, len(h) - SHINGLE + 1))
+                made.append(maker.sketch(h))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "content", "n", "sketches"])
 
-    return docs.mapInArrow(run, schema).dropDuplicates(["content"])
+    return keyed.mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -189,64 +189,103 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, []
-        for batch in batches:
-            keep = []
-            for x, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, first = x, shingle_list(py_words(text_a))
-                keep.append(aligned(first, shingle_list(py_words(text_b)), similarity) > 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch, keep = whole.slice(at, 256), []
+                for x, text_a, text_b in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                    if x != last:
+                        last, first = x, shingle_list(py_words(text_a))
+                    keep.append(aligned(first, shingle_list(py_words(text_b)), similarity) > 0)
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _likely_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Of ``members(bucket, content, comp, many)``: pairs (a, b) of a bucket's texts in different components whose shingles
+    have that similarity as multisets, which an alignment cannot exceed.
+
+    A bucket's shingles are indexed in one task, in blocks of ``BLOCK`` texts and pairs of such blocks where there are
+    more; only pairs that pass leave it.
+    """
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        maker = Sketcher()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                hashes = (np.array([xxhash.xxh64_intdigest(w) for w in py_words(t)], np.uint64) for t in batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([maker.shingles(h).astype("<u4").tobytes() for h in hashes], pa.binary())], ["content", "shingles"])
+
+    blocks = F.ceil(F.col("many") / BLOCK)
+    own = F.pmod("content", blocks)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    spread = members.withColumn("own", own).withColumn("other", other).select("bucket", "content", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    wanted = small(members.select("content").distinct())
+    made = written(texts.join(wanted, "content", "left_semi").mapInArrow(shingled, "content long, shingles binary"), "shingles")
+
+    def compare(group: pa.Table) -> pa.Table:
+        content, comp = group.column("content").to_numpy(), group.column("comp").to_numpy()
+        each = [np.frombuffer(b, "<u4") for b in group.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in each])
+        _, shingle = np.unique(np.concatenate(each), return_inverse=True)
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.argsort(shingle, kind="stable")
+        posted, ends = owner[order], np.cumsum(np.bincount(shingle))
+        starts, text_ends = np.concatenate([[0], ends[:-1]]), np.cumsum(n)
+        names, sizes = np.unique(comp, return_counts=True)
+        left, right = [], []
+        for k in np.flatnonzero(comp != names[sizes.argmax()]):  # pairs within the largest component need no look
+            mine = shingle[text_ends[k] - n[k] : text_ends[k]]
+            length = ends[mine] - starts[mine]
+            first = np.repeat(starts[mine] - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
+            common = np.bincount(posted[first + np.arange(len(first))], minlength=len(n))
+            good = (common * (1 + similarity) >= similarity * (n + n[k]) - 1e-6) & (comp != comp[k])
+            right += np.flatnonzero(good).tolist()
+            left += [k] * int(good.sum())
+        a, b = content[left], content[right]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return spread.join(made, "content").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def content_classes(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs(doc_id, text)`` as a written table (doc_id, content: hash of the words, null if none), and for
     contents with links: node, comp."""
-    content, _ = _content(F.col("text"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("content", content)
-    rows = written(keyed.select("doc_id", "content"), "contents")
-    sketches = written(_sketches(keyed.where(F.col("content").isNotNull()).select("content", "text")), "sketches")
-    each = sketches.select("content", "n", F.explode("sketches").alias("bucket"))
+    bounded_batches(docs.sparkSession)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = written(_sketches(plain), "sketches")
+    each = rows.where("sketches is not null").dropDuplicates(["content"]).select("content", "n", F.explode("sketches").alias("bucket"))
     full = each.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
     members = written(each.join(full, "bucket"), "members")
     company = members.groupBy("content").agg(F.sum("many").alias("company"))
     members = written(members.join(company, "content").select("bucket", "content", "n", "company"), "ranked")
-    needed = small(members.select("content").distinct(), 1_000_000)
-    representative = keyed.join(needed, "content", "left_semi")
-    # one text for each content: that of its least doc_id, or any of those with a null doc_id
-    rep_ids = rows.join(needed, "content", "left_semi").groupBy("content").agg(F.min("doc_id").alias("doc_id"))
-    rep_ids = small(rep_ids.select(F.col("content").alias("rep_content"), F.col("doc_id").alias("rep_id")), 1_000_000)
-    texts = representative.join(rep_ids, (F.col("content") == F.col("rep_content")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
+    # the text of each content in a bucket: that of its least doc_id
+    needed = members.select("content").distinct()
+    rep = written(rows.join(needed, "content", "left_semi").groupBy("content").agg(F.min("doc_id").alias("doc_id")), "representatives")
+    ids, rep = small(rep.select("doc_id"), 1_000_000), small(rep.select(F.col("content").alias("rep"), F.col("doc_id").alias("rep_id")), 1_000_000)
+    chosen = plain.join(ids.withColumnRenamed("doc_id", "some_id"), F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi").withColumn("content", _content(F.col("text")))
+    texts = chosen.join(rep, (F.col("content") == F.col("rep")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
     texts = written(texts.select("content", "text").dropDuplicates(["content"]), "texts")
 
-    edges = written(docs.sparkSession.createDataFrame([], "a long, b long"), "edges")
-    tried = edges
-    comps = connected_components(edges)
-    open_members, leaders = members, LEADERS
-    while True:
-        w = Window.partitionBy("bucket").orderBy(F.col("company").desc(), "content")
-        lead = open_members.withColumn("place", F.row_number().over(w)).where(F.col("place") <= leaders)
-        lead = lead.select("bucket", F.col("content").alias("lead"), F.col("n").alias("lead_n"), *([F.col("comp").alias("lead_comp")] if "comp" in lead.columns else []))
-        near = F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n") - 1e-9
-        pairs = open_members.join(lead, "bucket").where((F.col("content") != F.col("lead")) & near)
-        if "comp" in open_members.columns:
-            pairs = pairs.where(F.col("comp") != F.col("lead_comp"))
-        pairs = pairs.select(F.least("content", "lead").alias("a"), F.greatest("content", "lead").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tried = tried.unionByName(pairs)
-            edges = edges.unionByName(written(_verified(pairs, texts, similarity), "links"))
-            comps = connected_components(edges)
-        # buckets whose texts are still in several components go on, with more leaders
-        of = comps.select(F.col("node").alias("content"), F.col("comp").alias("of"))
-        open_members = members.join(of, "content", "left").withColumn("comp", F.coalesce("of", "content")).drop("of")
-        several = open_members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("many")).where(f"x <> y and many > {leaders}").select("bucket")
-        open_members = written(open_members.join(several, "bucket", "left_semi"), "open")
-        if open_members.isEmpty():
-            break
-        leaders *= 2
-    return rows, comps
+    w = Window.partitionBy("bucket").orderBy(F.col("company").desc(), "content")
+    lead = members.withColumn("place", F.row_number().over(w)).where(F.col("place") <= LEADERS).select("bucket", F.col("content").alias("lead"), F.col("n").alias("lead_n"))
+    near = F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n") - 1e-9
+    pairs = members.join(lead, "bucket").where((F.col("content") != F.col("lead")) & near)
+    pairs = written(pairs.select(F.least("content", "lead").alias("a"), F.greatest("content", "lead").alias("b")).distinct(), "pairs")
+    links = written(_verified(pairs, texts, similarity), "links")
+    comps = connected_components(links)
+    # where texts of a bucket are still in several components: all that may be linked between these, by common shingles
+    of = comps.select(F.col("node").alias("content"), F.col("comp").alias("of"))
+    placed = members.join(of, "content", "left").select("bucket", "content", F.coalesce("of", "content").alias("comp"))
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("many")).where(f"x <> y and many > {LEADERS}")
+    rest = placed.join(several.select("bucket", "many"), "bucket")
+    further = written(_likely_links(rest, texts, similarity).join(pairs, ["a", "b"], "left_anti").distinct(), "further-pairs")
+    if not further.isEmpty():
+        comps = connected_components(links.unionByName(written(_verified(further, texts, similarity), "further-links")))
+    return rows.select("doc_id", "content"), comps
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -271,14 +310,18 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 def first_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, with their columns, of which one of each group stays: that of its least doc_id (see near_duplicates)."""
     rows, comps = content_classes(docs, similarity)
-    least = rows.where(F.col("content").isNotNull()).groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("x"))).alias("first"))
+    worded = rows.where(F.col("content").isNotNull())
+    least = worded.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("x"))).alias("first"))
     labelled = least.join(comps.withColumnRenamed("node", "content"), "content", "left").withColumn("comp", F.coalesce("comp", "content"))
-    keep = labelled.groupBy("comp").agg(F.min(F.struct("first", "content")).alias("k")).select(F.col("k.first.x").alias("__keep_id"), F.col("k.content").alias("__keep_content"))
-    keep = small(written(keep, "kept"))
-    content, _ = _content(docs["text"])
-    marked = docs.withColumn("__content", content)
-    alone = marked.where(F.col("__content").isNull()).select(docs.columns)
-    one = marked.where(F.col("__content").isNotNull()).join(keep, (F.col("__content") == F.col("__keep_content")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__keep_id")), "left_semi")
-    if not rows.where(F.col("content").isNotNull()).groupBy("doc_id", "content").count().where("count > 1").isEmpty():
-        one = one.dropDuplicates(["__content", "doc_id"])  # a shuffle of the texts, only where rows repeat
-    return one.select(docs.columns).unionByName(alone)
+    keep = labelled.groupBy("comp").agg(F.min(F.struct("first", "content")).alias("k")).select(F.col("k.first.x").alias("keep_id"), F.col("k.content").alias("keep_content"))
+    # by what goes, which is less than what stays
+    goes = worded.join(keep, (F.col("content") == F.col("keep_content")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_anti")
+    goes = written(goes.select(F.col("doc_id").alias("__goes_id"), F.col("content").alias("__goes_content")).distinct(), "goes")
+    goes = small(goes, 1_000_000)
+    marked = docs.withColumn("__content", _content(docs["text"]))
+    one = marked.join(goes, (F.col("__content") == F.col("__goes_content")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__goes_id")), "left_anti")
+    if not worded.groupBy("doc_id", "content").count().where("count > 1").isEmpty():
+        # equal rows: a shuffle of the texts, only where there are some; rows without words all stay
+        alone = one.where(F.col("__content").isNull())
+        one = one.where(F.col("__content").isNotNull()).dropDuplicates(["__content", "doc_id"]).unionByName(alone)
+    return one.select(docs.columns)

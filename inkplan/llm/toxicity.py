@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, likely_least, written
+from .common import bounded_batches, hash_share, likely_least, written
 
 #: Labelled documents that a classifier is fitted on, at most: those with the least hashes of their ids.
 TRAINING_DOCS = 20_000
@@ -105,6 +105,7 @@ def train(labelled: DataFrame, max_docs: int = TRAINING_DOCS, features: int = FE
     documents that have it over that of the others, is strongest for their number of documents. With one label only or
     none, all scores are the (smoothed) share of label 1.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col("label").isNotNull() & F.col("text").isNotNull()).select("text", F.col("label").cast("int").alias("label"), hash_share(F.col("doc_id")).alias("h"))
     total = rows.count()
     rows = rows.where(likely_least(F.col("h"), max_docs, total))
