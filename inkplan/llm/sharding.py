@@ -15,6 +15,8 @@ from .common import written
 
 #: Rows of a bucket within which rows are numbered by a sort.
 BUCKET_ROWS = 4_000
+#: Rows of a group that go to one task of a join.
+DEALT_ROWS = 1_000
 
 
 def _uniform(*columns: Column) -> Column:
@@ -34,11 +36,14 @@ def label_propagation(linked: DataFrame, shards: int, quota: int, rounds: int =
         votes = labels.groupBy("grp", "label").agg(F.count("*").alias("n"))
         # a group larger than the quota aims for half as many labels again as it needs, the most frequent first
         ranked = F.reverse(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("grp", "label").alias("h"), "label"))))["label"]  # a row for each shard
-        target = votes.groupBy("grp").agg(ranked.alias("aims"))
+        target = votes.groupBy("grp").agg(ranked.alias("aims"), F.sum("n").alias("all"))
+        # rows of a large group are dealt to several tasks, each with the group's aims
+        target = target.select("grp", "aims", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("all") / DEALT_ROWS) - 1)).alias("deal"))
+        deal = F.pmod(F.xxhash64("rid", F.lit("deal")), F.ceil(F.col("many") / DEALT_ROWS))
         wide = F.when(F.col("many") <= quota, 1).otherwise(F.ceil(F.col("many") * 1.5 / quota)).cast("int")
         aims = F.slice("aims", F.lit(1), F.least(wide, F.size("aims")))
         aim = F.element_at(aims, F.pmod(F.xxhash64("rid", F.lit("aim")), F.size(aims)).cast("int") + 1)
-        wish = labels.join(target, "grp").withColumn("to", F.when(F.array_contains(aims, F.col("label")), F.col("label")).otherwise(aim)).drop("aims")
+        wish = labels.withColumn("deal", deal).join(target, ["grp", "deal"]).withColumn("to", F.when(F.array_contains(aims, F.col("label")), F.col("label")).otherwise(aim)).drop("aims", "deal")
         stay = F.col("label") == F.col("to")
         flow = wish.groupBy("to").agg(F.count_if(stay).alias("own"), F.count_if(~stay).alias("come"))
         share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (quota - F.col("own")) / F.greatest("come", F.lit(1))))
