@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hash_share, likely_least, small
+from .common import bounded_batches, hash_share, likely_least, release_memory, small
 
 #: Documents of each language, at most, of which its dictionary is made, and the dictionary's bytes.
 TRAINING_DOCS = 200
@@ -104,5 +104,6 @@ def predict(dictionaries: dict[str, bytes], text: Column, min_margin: float = MI
         c = Classifier(dictionaries, min_margin)
         for texts in batches:
             yield pd.DataFrame([c.predict(t) for t in texts], columns=["lang_pred", "score", "margin", "rejected"])
+        release_memory()
 
     return run(text.cast("string"))

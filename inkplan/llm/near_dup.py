@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, py_words, small, words, written
+from .common import bounded_batches, py_words, release_memory, small, words, written
 
 SHINGLE = 5
 #: Sketches of a text, and shingles in one: of pairs with similarity 0.8, 1 - (1 - 0.8**5)**20 = 99.96 % share one.
@@ -178,6 +178,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 n.append(max(1, len(h) - SHINGLE + 1))
                 made.append(maker.sketch(h))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "content", "n", "sketches"])
+        release_memory()
 
     return keyed.mapInArrow(run, schema)
 
@@ -197,6 +198,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                         last, first = x, shingle_list(py_words(text_a))
                     keep.append(aligned(first, shingle_list(py_words(text_b)), similarity) > 0)
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        release_memory()
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
