@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .tokens import SegmentEncoder, broadcast_tokenizer, default_tokenizer
+from .common import bounded_batches, release_memory, written
+from .tokens import broadcast_tokenizer, default_tokenizer, worker_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, lrank long"
 
@@ -88,18 +88,19 @@ def pack_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """The pieces of ``docs(doc_id, text)``: doc_id, piece, start, length, ids_crc32, with the task (pid) that made it and its rank there among those of its length (lrank)."""
+    bounded_batches(docs.sparkSession)
     vocabulary = broadcast_tokenizer(docs.sparkSession, tokenizer or default_tokenizer())
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = SegmentEncoder(vocabulary.value)
+        encoder = worker_encoder(vocabulary.value)
         pid = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 out: list[list[int]] = [[] for _ in range(6)]
                 for row, x in enumerate(encoder.documents(part.column(1), end_id)):
                     ids = x.astype("<u4")
@@ -113,6 +114,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
                     [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([pid] * len(row), pa.int32()), pa.array(lrank, pa.int64())],
                     names,
                 )
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECES)

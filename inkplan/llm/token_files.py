@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
-from .tokens import SegmentEncoder, broadcast_tokenizer, default_tokenizer
+from .common import bounded_batches, release_memory, scratch_path, written
+from .tokens import broadcast_tokenizer, default_tokenizer, worker_encoder
 
 MAGIC = b"IPTOK1\0\0"
+#: Tokens of a file, about; a task holds them in memory.
+FILE_TOKENS = 4 << 20
 _HEAD = struct.Struct("<8s5IQ")
 #: By control byte: the four lengths it stands for.
 _LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + 1
@@ -61,11 +63,13 @@ def file_bytes(doc_ids: list[int | None], token_bytes: list[bytes], dtype: np.dt
     """The file's image of documents in that order; token_bytes: each document's ids."""
     lengths = np.array([len(b) // dtype.itemsize for b in token_bytes], "<u4")
     ids = np.frombuffer(b"".join(token_bytes), dtype)
-    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    counts = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int64)
+    for at in range(0, len(ids), 1 << 20):
+        counts += np.bincount(ids[at : at + (1 << 20)], minlength=len(counts))
     symbols = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)].astype("<u4")
     rank = np.zeros(len(counts), np.uint32)
     rank[symbols] = np.arange(len(symbols), dtype=np.uint32)
-    parts = [encode_ranks(rank[ids[at : at + (1 << 20)]]) for at in range(0, len(ids), 1 << 20)]
+    parts = [encode_ranks(rank[ids[at : at + (1 << 18)]]) for at in range(0, len(ids), 1 << 18)]
     control, data = (b"".join(p[k] for p in parts) for k in (0, 1))
     head = _HEAD.pack(MAGIC, len(doc_ids), len(symbols), len(control), len(data), 0, len(ids))
     known = np.array([0 if i is None else i for i in doc_ids], "<i8")
@@ -105,7 +109,7 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, file_tokens: int = 8 << 20) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Write ``docs(doc_id, text)`` as token files under path; the files' table (part, seq, path, n_docs, n_tokens).
 
     Null and empty texts have the end id only. Rows with a null doc_id come first; rows with equal doc_id are all
@@ -114,12 +118,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     returned table names count.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     vocabulary = broadcast_tokenizer(spark, tokenizer or default_tokenizer())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = SegmentEncoder(vocabulary.value)
+        encoder = worker_encoder(vocabulary.value)
         part = TaskContext.get().partitionId()
         store, folder = _store(path)
         store.create_dir(folder, recursive=True)
@@ -137,11 +142,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             prefix = path[: len(path) - len(folder)] if path.endswith(folder) else scheme
             row = {"part": [part], "seq": [seq], "path": [prefix + name], "n_docs": [len(ids)], "n_tokens": [size]}
             ids, held, size, seq = [], [], 0, seq + 1
+            release_memory()
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                piece = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1000):
+                piece = batch.slice(at, 1000)
                 for doc_id, x in zip(piece.column(0).to_pylist(), encoder.documents(piece.column(1), end_id), strict=True):
                     ids.append(doc_id)
                     held.append(x.tobytes())
@@ -150,6 +156,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                         yield flush()
         if ids:
             yield flush()
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -184,8 +191,11 @@ def read_token_files(files: DataFrame, digest: bool = False) -> DataFrame:
                 else:
                     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([*first, pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], ["doc_id", "start", "ids"])
+                del doc_ids, lengths, ids, ends, starts, first
+        release_memory()
 
-    return placed.repartition(F.col("path")).mapInArrow(read, schema)
+    tasks = max(1, min(files.count(), 20_000))  # of a written table; a number of its own, or adaptive execution joins them into one task
+    return placed.repartition(tasks, "path").mapInArrow(read, schema)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, digest: bool = True) -> DataFrame:
