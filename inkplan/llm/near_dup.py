@@ -2,7 +2,8 @@
 
 A sketch is the ``PICKED`` smallest hashes of a text's shingles, each labelled by its occurrence, kept in text order:
 two texts share one if they have the same shingles in the same order often enough. Texts that share a sketch are
-candidates. A bucket's texts are not paired with each other but with a few leaders, those with most company over all
+candidates. Short texts, where few sketches can be shared, are candidates too if they share one of their rarest
+shingles, so many of these that none of their pairs is missed. A bucket's texts are not paired with each other but with a few leaders, those with most company over all
 sketches. Where a bucket's texts are still in several components, an index of their shingles finds those pairs between
 components that may be linked, and these are aligned too.
 """
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, py_words, release_memory, small, words, written
 
 SHINGLE = 5
-#: Sketches of a text, and shingles in one: of pairs with similarity 0.8, 1 - (1 - 0.8**5)**20 = 99.96 % share one.
+#: Sketches of a text, and shingles in one: of pairs with similarity 0.8 and many shingles, 1 - (1 - 0.8**5)**20 = 99.96 %
+#: share one. With c of u shingles common it is C(c, 5) / C(u, 5) instead of 0.8**5: 99.94 % at least beyond SHORT.
 SKETCHES = 20
 PICKED = 5
+#: Pairs of which a text has at most so many shingles are found by their rarest shingles, all of them.
+SHORT = 40
 #: Texts of a bucket that all others of it are aligned with.
 LEADERS = 3
 #: Texts whose shingles are indexed together where a bucket's texts are still in several components.
@@ -57,7 +61,8 @@ class Sketcher:
             s = out[at]
             first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             occurrence = np.arange(n) - np.repeat(first, np.diff(np.concatenate([first, [n]])))
-            out[at] = _mix(s + occurrence.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+            again = occurrence > 0  # the first is as in a text that has it once
+            out[at[again]] = _mix(s[again] + occurrence[again].astype(np.uint64) * _U(0x9E3779B97F4A7C15))
         return out
 
     def sketch(self, h: np.ndarray) -> np.ndarray:
@@ -154,9 +159,9 @@ def _content(text: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.xxhash64(tokens))
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """Of ``docs(doc_id, text)``: doc_id, content, n (shingles), sketches; the last two only where a task meets a content first."""
-    schema = "doc_id long, content long, n long, sketches array<long>"
+def _sketches(docs: DataFrame, short: int) -> DataFrame:
+    """Of ``docs(doc_id, text)``: doc_id, content, n (shingles), sketches, short (the shingles, if at most so many); the last three only where a task meets a content first."""
+    schema = "doc_id long, content long, n long, sketches array<long>, short array<long>"
     tokens = docs.select("doc_id", words(F.col("text")).alias("w"))
     keyed = tokens.select("doc_id", F.when(F.size("w") > 0, F.xxhash64("w")).alias("content"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
 
@@ -166,10 +171,12 @@ def _sketches(docs: DataFrame) -> DataFrame:
             ends, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(zero_copy_only=False).view(np.uint64)
             n: list[int | None] = []
             made: list[np.ndarray | None] = []
+            few: list[np.ndarray | None] = []
             for k, content in enumerate(batch.column(1).to_pylist()):
                 if content is None or content in seen:
                     n.append(None)
                     made.append(None)
+                    few.append(None)
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
@@ -177,12 +184,28 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 h = flat[ends[k] : ends[k + 1]]
                 n.append(max(1, len(h) - SHINGLE + 1))
                 made.append(maker.sketch(h))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "content", "n", "sketches"])
+                few.append(maker.shingles(h).view(np.int64) if n[-1] <= short else None)
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in (made, few))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), *lists], ["doc_id", "content", "n", "sketches", "short"])
         release_memory()
 
     return keyed.mapInArrow(run, schema)
 
 
+def _short_buckets(contents: DataFrame, similarity: float) -> DataFrame:
+    """Of ``contents(content, n, short)``: content, n, bucket, a row for each of a text's rarest shingles that others have too.
+
+    Of two texts with that similarity, each has at least similarity * n of its n shingles in common with the other. So one
+    of its n - similarity * n + 1 rarest is common, and for one order of all shingles they share such a one.
+    """
+    items = written(contents.select("content", "n", F.explode("short").alias("shingle")), "short-shingles")
+    common = small(written(items.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1"), "common-shingles"))
+    each = items.join(common, "shingle", "left").select("content", "n", F.struct(F.coalesce("many", F.lit(1)).alias("many"), "shingle").alias("s"))
+    first = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
+    rarest = each.groupBy("content", "n").agg(F.sort_array(F.collect_list("s")).alias("s")).select("content", "n", F.explode(F.slice("s", F.lit(1), first)).alias("s"))
+    return rarest.where("s.many > 1").select("content", "n", F.col("s.shingle").alias("bucket"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Of ``pairs(a, b)``, those with that similarity."""
     b = texts.select(F.col("content").alias("b"), F.col("text").alias("text_b"))
@@ -258,8 +281,10 @@ def content_classes(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame
     contents with links: node, comp."""
     bounded_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(_sketches(plain), "sketches")
+    rows = written(_sketches(plain, int(SHORT / similarity + 1e-9)), "sketches")
     each = rows.where("sketches is not null").dropDuplicates(["content"]).select("content", "n", F.explode("sketches").alias("bucket"))
+    short = rows.where("short is not null").select("content", "n", "short").dropDuplicates(["content"])
+    each = each.unionByName(_short_buckets(short, similarity))
     full = each.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
     members = written(each.join(full, "bucket"), "members")
     company = members.groupBy("content").agg(F.sum("many").alias("company"))

@@ -346,6 +346,26 @@ def test_near_duplicates_in_one_large_group(spark):
     assert got == brute_classes([{"doc_id": i, "text": t} for i, t in data])
 
 
+def test_near_duplicates_of_short_texts(spark):
+    rng = random.Random(11)
+    texts = []
+    for k, (n, more) in enumerate([(8, 1), (9, 1), (12, 2), (24, 5), (44, 10)] * 60):  # shingles at 0.8 or little above
+        own = [f"s{k}_{j}" for j in range(n + more)]
+        low = rng.randint(0, more)
+        texts += [own[low : low + n], own]
+    for k in range(20):  # one with a shingle twice, one without
+        own = [f"r{k}_{j}" for j in range(30)]
+        texts += [own, [*own, *own[:5]]]
+    texts += [[f"h{j}" for j in range(9)] + [f"t{k}"] for k in range(40)]  # one bucket, and what only shares a shingle with it
+    texts += [[f"h{j}" for j in range(5)] + [f"u{k}_{j}" for j in range(3)] for k in range(40)]
+    data = [{"doc_id": i, "text": " ".join(w)} for i, w in enumerate(texts)]
+    df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in data], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(df).collect()}
+    want = brute_classes(data)
+    assert got == want
+    assert all(want[i + 1] == i for i in range(0, 640, 2))
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components(spark, edges):
