@@ -36,7 +36,8 @@ def train(labelled: DataFrame, docs_per_lang: int = TRAINING_DOCS, dictionary_by
     """
     bounded_batches(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", hash_share(F.col("text")).alias("h"))
-    totals = small(known.groupBy("lang").agg(F.count("*").alias("total")))
+    # of distinct texts: all copies of one have the same hash
+    totals = small(known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("total")))
     w = Window.partitionBy("lang").orderBy("h")
     rows = known.join(totals, "lang").where(likely_least(F.col("h"), docs_per_lang, F.col("total")))
     rows = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies of one text count once

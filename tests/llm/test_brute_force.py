@@ -58,6 +58,15 @@ def test_language_id_is_right_for_held_out_documents(spark, sf, rows):
     assert np.mean(right) >= 0.95
 
 
+def test_dictionaries_of_few_texts_with_many_copies(spark):
+    texts = [f"zq{chr(97 + k // 26)}{chr(97 + k % 26)} " * 5 for k in range(50)]
+    copies = spark.range(33_000).select(F.lit(texts[0]).alias("text"), F.lit("en").alias("lang"))
+    known = spark.createDataFrame([(t, "en") for t in texts] + [("un texte", "fr")], "text string, lang string").unionByName(copies)
+    model = language_id.train(known)
+    assert sorted(model) == ["en", "fr"]
+    assert {t.split()[0] for t in texts} <= set(model["en"].decode().split())
+
+
 def brute_nearest(rows, k=10):
     good = [(r["vec_id"], np.array(r["embedding"], float)) for r in rows if r["embedding"] and None not in r["embedding"]]
     good = [(i, v) for i, v in good if np.isfinite(v).all() and v.any()]
