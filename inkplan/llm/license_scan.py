@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log
+from math import ceil, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +30,9 @@ TEMPLATES = [
     ("reserved", "all rights reserved", ["all rights reserved"]),
     ("mpl", "this source code form is subject to the terms of the mozilla public license", ["mozilla public license"]),
 ]
-#: Words of a template, the rarest in the corpus, that it is looked up by, and the share of its words that must stand at their places.
-ANCHORS = 3
+#: The share of a template's words that must stand at their places.
 MIN_COVERAGE = 0.75
-#: A place may be shifted by so many words against the one looked up by.
+#: A word may be shifted by so many words against its place.
 SLACK = 2
 
 FOUND = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -41,7 +40,11 @@ FOUND = "n_words long, n_base long, first_word long, last_word long, base_labels
 
 @dataclass
 class Index:
-    """Postings (template, position) of the templates' words, by the words' IDF over the corpus."""
+    """Postings (template, position) of the words that templates are looked up by, chosen by IDF over the corpus so that no place is missed.
+
+    A base phrase and a template with phrases that must stand in it: by the rarest word of such a phrase. A template
+    without: by so many of its rarest words that with all of them missing, too few are left.
+    """
 
     idf: dict[str, float]
     phrases: dict[str, str] = field(default_factory=lambda: BASE_PHRASES)
@@ -50,13 +53,15 @@ class Index:
     def __post_init__(self):
         rare = lambda w: (-self.idf.get(w, 0.0), w)
         self.base = [(p.split(), label) for p, label in self.phrases.items()]
-        self.full = [(t.split(), label, [k.split() for k in keys]) for label, t, keys in self.templates]
+        self.full = []
+        for label, t, keys in self.templates:  # the phrase of the rarest word first
+            self.full.append((t.split(), label, sorted((k.split() for k in keys if k.split()), key=lambda key: min(map(rare, key)))))
         self.postings: dict[str, list[tuple[int, int]]] = {}
-        for k, words in enumerate([w for w, _ in self.base] + [w for w, _, _ in self.full]):
-            best = sorted(set(words), key=rare)[: 1 if k < len(self.base) else ANCHORS]
-            for at, w in enumerate(words):
-                if w in best:
-                    self.postings.setdefault(w, []).append((k, at))
+        for k, words in enumerate([w for w, _ in self.base] + [keys[0] if keys else w for w, _, keys in self.full]):
+            whole = k >= len(self.base) and not self.full[k - len(self.base)][2]
+            order = sorted(range(len(words)), key=lambda at: rare(words[at]))  # noqa: B023
+            for at in order[: len(words) - ceil(MIN_COVERAGE * len(words)) + 1 if whole else 1]:
+                self.postings.setdefault(words[at], []).append((k, at))
 
     def scan(self, words: list[str]) -> tuple[int, int | None, int | None, str, str, float]:
         """n_base, first_word, last_word, base_labels, labels, score."""
@@ -64,8 +69,7 @@ class Index:
         postings = self.postings
         for pos in [p for p, w in enumerate(words) if w in postings]:
             for k, at in postings[words[pos]]:
-                if pos >= at:
-                    places.setdefault(k, set()).add(pos - at)
+                places.setdefault(k, set()).add(pos - at)
         starts: list[int] = []
         base: set[str] = set()
         more: set[str] = set()
@@ -73,16 +77,23 @@ class Index:
         for k, found in places.items():
             if k < len(self.base):
                 phrase, label = self.base[k]
-                good = [s for s in found if words[s : s + len(phrase)] == phrase]
+                good = [s for s in found if s >= 0 and words[s : s + len(phrase)] == phrase]
                 if good:
                     starts += good
                     base.add(label)
                     score = 1.0
                 continue
             template, label, keys = self.full[k - len(self.base)]
-            for s in found:
-                here = words[max(0, s - SLACK) : s + len(template) + SLACK]
-                there = sum(w in here[max(0, i + min(s, SLACK) - SLACK) : i + min(s, SLACK) + SLACK + 1] for i, w in enumerate(template))
+            if not template:
+                continue
+            if keys:  # all starts that have the phrase in reach
+                stands = [p for p in found if p >= 0 and words[p : p + len(keys[0])] == keys[0]]
+                possible = {s for p in stands for s in range(p + len(keys[0]) - len(template) - SLACK, p + SLACK + 1)}
+            else:
+                possible = {s for p in found for s in range(p - SLACK, p + SLACK + 1)}
+            for s in possible:
+                here, first = words[max(0, s - SLACK) : s + len(template) + SLACK], min(s, SLACK)
+                there = sum(w in here[max(0, i + first - SLACK) : max(0, i + first + SLACK + 1)] for i, w in enumerate(template))
                 coverage = there / len(template)
                 if coverage >= MIN_COVERAGE and all(any(here[i : i + len(key)] == key for i in range(len(here) - len(key) + 1)) for key in keys):
                     more.add(label)
