@@ -1,8 +1,8 @@
-"""Benchmark decontamination by a positional inverted index, in DataFrame operations only.
+"""Benchmark decontamination by window lookups, in DataFrame operations only.
 
-Each benchmark window (eight consecutive words) is looked up by its rarest word in the documents: the postings of
-those words, which carry the document's words around them, are offset by the word's place in the window and
-intersected there with the window's other words. All other words of the documents make no postings.
+Each benchmark window (eight consecutive words) is looked up by its rarest word in the documents: the places of those
+words, with the document's words around them, are offset by the word's place in the window and compared there with the
+whole window. This stands in for a positional inverted index: no postings are stored, and no lists are intersected.
 """
 
 from __future__ import annotations
