@@ -29,8 +29,8 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of fewer than two benchmark items."""
-    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no whole window of any benchmark item."""
+    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
