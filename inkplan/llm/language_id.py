@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,47 +19,55 @@ DICTIONARY_BYTES = 64 << 10
 PIECE_BYTES = 2048
 LEVEL = 12
 MIN_MATCH = 3
-#: Shorter texts are compressed after this many bytes of the dictionary's end, and count what they add: alone, a few words cost as much with any dictionary.
-SHORT_BYTES = 256
+#: Each piece is compressed after this many bytes of the dictionary's end, and counts what it adds: alone, a few words cost as much with any dictionary.
 LEAD_BYTES = 48
+#: Characters of a passage, where a training text gives passages and not all of itself.
+PASSAGE = 160
 #: A text whose second best language needs less than this share more bytes than the best is rejected.
 MIN_MARGIN = 0.004
 UNDETERMINED = "und"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
 PREDICTION = "lang_pred string, score double, margin double, rejected boolean"
 
 
 def train(labelled: DataFrame, docs_per_lang: int = TRAINING_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A raw-content dictionary for each language of ``labelled(text, lang)``; rows with a null are left out.
 
-    Fitted on at most ``docs_per_lang`` texts of a language, those with the least hashes, each cut to an even share of
-    the dictionary by taking passages from all over it.
+    Fitted on at most ``docs_per_lang`` different texts of a language, those with the least hashes; repeated rows count
+    once. Each gives an even share of the dictionary: all of itself, or of a longer text passages of ``PASSAGE``
+    characters from all over it.
     """
     bounded_batches(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", hash_share(F.col("text")).alias("h"))
     # of distinct texts: all copies of one have the same hash
     totals = small(known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("total")))
-    w = Window.partitionBy("lang").orderBy("h")
     rows = known.join(totals, "lang").where(likely_least(F.col("h"), docs_per_lang, F.col("total")))
-    rows = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies of one text count once
+    rows = rows.groupBy("lang", "h").agg(F.min("text").alias("text"), F.first("total").alias("total"))  # copies of one text count once
+    w = Window.partitionBy("lang").orderBy("h")  # of about twice docs_per_lang rows
     picked = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= docs_per_lang)
-    # passages of 160 characters, evenly spaced over the text
-    n = F.lit(max(1, dictionary_bytes // (docs_per_lang * 160)) + 1)
-    step = F.greatest((F.length("text") / n).cast("int"), F.lit(1))
-    passages = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", (i * step + 1).cast("int"), F.lit(160)))
+    n = F.ceil(dictionary_bytes / (PASSAGE * F.least("total", F.lit(docs_per_lang)))).cast("int")
+    step = (F.length("text") / n).cast("int")
+    passages = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", i * step + 1, F.lit(PASSAGE)))
+    part = F.when(F.length("text") <= n * PASSAGE, F.col("text")).otherwise(F.array_join(passages, " "))
     by_lang: dict[str, list[tuple[int, str]]] = {}
-    for r in picked.select("lang", "k", F.array_join(passages, " ").alias("t")).collect():
+    for r in picked.select("lang", "k", part.alias("t")).collect():  # a dictionary's characters of each language
         by_lang.setdefault(r["lang"], []).append((r["k"], r["t"]))
     return {lang: letters(" ".join(t for _, t in sorted(rows)))[-dictionary_bytes:] for lang, rows in sorted(by_lang.items())}
 
 
+@cache
+def _not_letters() -> re.Pattern:
+    """Runs of what is no letter (Unicode category L); word characters that are numbers but no decimal digits are told one by one."""
+    numbers = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[\W\d_{numbers}]+")
+
+
 def letters(text: str) -> bytes:
     """What of a text is compressed: its words of letters in lower case."""
-    return _NO_LETTERS.sub(" ", text.lower()).encode("utf-8", "replace")
+    return _not_letters().sub(" ", text.lower()).encode("utf-8", "replace")
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN):
+    def __init__(self, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, level: int = LEVEL):
         import zstandard as z
 
         self.langs = sorted(dictionaries)
@@ -66,7 +75,7 @@ class Classifier:
         self._compress, self._lead = [], []
         for lang in self.langs:
             size = max(1, len(dictionaries[lang]))
-            how = z.ZstdCompressionParameters.from_level(LEVEL, source_size=PIECE_BYTES, dict_size=size, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+            how = z.ZstdCompressionParameters.from_level(level, source_size=LEAD_BYTES + PIECE_BYTES, dict_size=size, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
             d = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
             self._compress.append(z.ZstdCompressor(dict_data=d, compression_params=how).compress)
@@ -78,12 +87,11 @@ class Classifier:
         raw = letters(text or "")
         if not raw.strip() or not self.langs:
             return UNDETERMINED, 0.0, 0.0, True
-        if len(raw) < SHORT_BYTES:
-            sizes = sorted((max(1, len(c(lead + raw)) - alone), lang) for c, lang, (lead, alone) in zip(self._compress, self.langs, self._lead, strict=True))
-            return self._told(sizes)
         pieces = [raw[k : k + PIECE_BYTES] for k in range(0, len(raw), PIECE_BYTES)]
-        sizes = sorted((sum(len(c(p)) for p in pieces), lang) for c, lang in zip(self._compress, self.langs, strict=True))
-        return self._told(sizes)
+        sizes = []
+        for lang, compress, (lead, alone) in zip(self.langs, self._compress, self._lead, strict=True):
+            sizes.append((max(1, sum(len(compress(lead + p)) - alone for p in pieces)), lang))
+        return self._told(sorted(sizes))
 
     def _told(self, sizes: list[tuple[int, str]]) -> tuple[str, float, float, bool]:
         if len(sizes) == 1:
@@ -95,8 +103,9 @@ class Classifier:
 def predict(dictionaries: dict[str, bytes], text: Column, min_margin: float = MIN_MARGIN) -> Column:
     """A struct (lang_pred, score, margin, rejected) for each text.
 
-    lang_pred: the language of the least compressed size, the first by name of equals; ``und`` if the text is null or
-    has no letters, or no language was learned. margin: the share of bytes saved against the second best; score: 0 to
+    lang_pred: the language of the least compressed size, the first by name of equals; ``und`` if the text is null,
+    empty or has no letters, or no language was learned. Long texts are compressed whole, in pieces; repeated rows are
+    told alike, each row by its text alone. margin: the share of bytes saved against the second best; score: 0 to
     1, 0.5 where the margin is ``min_margin``. Rejected: und, or a narrower margin.
     """
 
