@@ -31,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that all machines share: spark.checkpoint.dir. On one machine (tests) it may be unset, and is a temporary one then."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='inkplan-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -66,7 +68,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._inkplan_path = path
+    return out
+
+
+def remove(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more, also not a result that is still to be computed."""
+    for df in tables:
+        path = getattr(df, "_inkplan_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+#: A key with more than this share of the rows is joined by broadcast, not by a shuffle on the key.
+HOT_SHARE = 1 / 2000
+
+
+def join_by_count(rows: DataFrame, lookup: DataFrame, key: str, many: str, total: int) -> DataFrame:
+    """rows joined (inner) by ``key`` with lookup, a table of a row for each key that has the number of its rows in ``many``.
+
+    Keys with more than a 2000th of the ``total`` rows, so fewer than 2000, are broadcast, however many rows they have;
+    the rows of the others are shuffled. Both tables are read twice.
+    """
+    hot = F.col(many) > max(1.0, total * HOT_SHARE)
+    few = F.broadcast(lookup.where(hot))
+    rest = rows.join(F.broadcast(lookup.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(lookup.where(~hot), key))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -101,7 +101,7 @@ with d as (select row_number() over () as r, doc_id, source, text, string_split(
 each as (select distinct r, source, trim(l) as l from (select r, source, unnest(lines) as l from d) where trim(l) <> ''),
 total as (select source, count(*) as pages from d group by source),
 bad as (select e.source, e.l from each e join total t on e.source is not distinct from t.source
-        group by e.source, e.l, t.pages having count(*) >= 3 and count(*) > 0.05 * t.pages),
+        group by e.source, e.l, t.pages having count(*) >= 2 and count(*) > 0.05 * t.pages),
 lists as (select source, list(l) as bad from bad group by source),
 kept as (select doc_id, d.source, lines, text, list_filter(lines, lambda x: trim(x) = '' or not list_contains(coalesce(bad, []), trim(x))) as k
          from d left join lists on d.source is not distinct from lists.source)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -67,6 +68,63 @@ def test_dictionaries_of_few_texts_with_many_copies(spark):
     assert {t.split()[0] for t in texts} <= set(model["en"].decode().split())
 
 
+def plain_dictionaries(known):
+    """From (text, lang): the dictionaries of language_id.train, text by text."""
+    import xxhash
+
+    by = defaultdict(dict)
+    for text, lang in known:
+        if text and lang is not None:
+            by[lang][(xxhash.xxh64_intdigest(text.encode(), 42) % 2**40)] = text
+    out = {}
+    for lang, texts in by.items():
+        texts = [texts[h] for h in sorted(texts)][: language_id.TRAINING_DOCS]
+        n = -(-language_id.DICTIONARY_BYTES // (language_id.PASSAGE * len(texts)))
+        own = []
+        for t in texts:
+            step = len(t) // n
+            own.append(t if len(t) <= n * language_id.PASSAGE else " ".join(t[i * step : i * step + language_id.PASSAGE] for i in range(n)))
+        out[lang] = plain_letters(" ".join(own))[-language_id.DICTIONARY_BYTES :]
+    return out
+
+
+def plain_letters(text):
+    import regex
+
+    return regex.sub(r"\P{L}+", " ", text.lower()).encode()
+
+
+def plain_language(dictionaries, text):
+    import zstandard
+
+    raw, sizes = plain_letters(text or ""), []
+    if not raw.strip():
+        return "und"
+    for lang, d in sorted(dictionaries.items()):
+        how = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, source_size=language_id.LEAD_BYTES + language_id.PIECE_BYTES, dict_size=len(d), min_match=language_id.MIN_MATCH, write_content_size=False)
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+        lead = d[-language_id.LEAD_BYTES :]
+        sizes.append((sum(len(c.compress(lead + raw[k : k + language_id.PIECE_BYTES])) - len(c.compress(lead)) for k in range(0, len(raw), language_id.PIECE_BYTES)), lang))
+    return min(sizes)[1]
+
+
+def test_language_id_against_plain_compression(spark, sf, rows):
+    want = plain_dictionaries([(r["text"], r["lang"]) for r in rows if crc(r["doc_id"]) % 3 != 1])
+    known = table(spark, sf, "documents").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).select("text", "lang")
+    assert language_id.train(known) == want
+    got = {r["doc_id"]: r["lang_pred"] for r in queries.op1_language_id(spark, sf).collect()}
+    assert got == {r["doc_id"]: plain_language(want, r["text"]) for r in rows}
+
+
+def test_languages_of_texts_without_letters(spark):
+    texts = ["½ ²", "① ⅷ Ⅷ", "12.5 %", "\u0301", "_ _", "漢", "ª", "a1b2", " \n", "٣"]
+    model = {"en": b"the words of a text", "fr": b"les mots d un texte"}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["text"]: r["l"] for r in df.select("text", language_id.predict(model, F.col("text"))["lang_pred"].alias("l")).collect()}
+    assert {t for t, lang in got.items() if lang != "und"} == {"漢", "ª", "a1b2"}
+    assert set(texts) - {"漢", "ª", "a1b2"} == {t for t in texts if not any(unicodedata.category(c)[0] == "L" for c in t)}
+
+
 def brute_nearest(rows, k=10):
     good = [(r["vec_id"], np.array(r["embedding"], float)) for r in rows if r["embedding"] and None not in r["embedding"]]
     good = [(i, v) for i, v in good if np.isfinite(v).all() and v.any()]
@@ -456,7 +514,7 @@ def test_pipeline(spark, sf, rows):
             for r in now.values():
                 on.update({(r["source"], x.strip(" ")) for x in r["text"].split("\n")})
             for i, r in now.items():
-                keep = [x for x in r["text"].split("\n") if not x.strip(" ") or on[r["source"], x.strip(" ")] < 3 or on[r["source"], x.strip(" ")] <= 0.05 * pages[r["source"]]]
+                keep = [x for x in r["text"].split("\n") if not x.strip(" ") or on[r["source"], x.strip(" ")] < 2 or on[r["source"], x.strip(" ")] <= 0.05 * pages[r["source"]]]
                 text = "\n".join(keep)
                 assert got[i] == r | {"text": text, "n_chars": len(text)}
         elif name == "near dedup":

@@ -85,8 +85,10 @@ def test_near_duplicates(docs):
 
 def test_line_dedup(spark, docs):
     data = [(i, "s" if i % 2 else None, f"menu\n own line {i}\n\nmenu ") for i in range(10)] + [(10, "s", None), (11, "s", "menu"), (12, "t", "menu")]
-    df = spark.createDataFrame(data, "doc_id long, source string, text string").withColumns({c: F.lit("x") for c in CLASH})
-    got = {r["doc_id"]: r for r in line_dedup.line_dedup(df, counts=True).collect()}
+    df = spark.createDataFrame(data, "doc_id long, source string, text string").withColumns({c: F.lit("x") for c in [*CLASH, "n_lines", "N_dropped", "line"]})
+    cleaned = line_dedup.line_dedup(df, counts=True)
+    assert len({c.lower() for c in cleaned.columns}) == len(cleaned.columns) == len(df.columns)
+    got = {r["doc_id"]: r for r in cleaned.collect()}
     assert len(got) == len(data)
     assert (got[3]["text"], got[3]["n_lines"], got[3]["n_dropped"]) == (" own line 3\n", 4, 2) and got[4]["text"] == " own line 4\n"
     assert (got[10]["text"], got[10]["n_lines"]) == (None, 0) and got[11]["text"] == "" and got[12]["text"] == "menu"
