@@ -151,6 +151,29 @@ def test_nearest_neighbours_recall_and_measure(spark, sf):
     assert recall >= 0.9
 
 
+def test_nearest_neighbours_of_clustered_vectors_take_few_comparisons(spark, monkeypatch):
+    """Recall, and rows in visited leaves against all rows, where vectors have clusters."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(100, 32))
+    x = centres[rng.integers(0, 100, 20_000)] + 0.15 * rng.normal(size=(20_000, 32))
+    rows = [{"vec_id": i, "embedding": v} for i, v in enumerate(x.tolist())]
+    want = brute_nearest(rows)
+    kept, plan = [], ann.rows_to_visit
+    monkeypatch.setattr(ann, "rows_to_visit", lambda *a, **b: kept.append(plan(*a, **b)) or kept[-1])
+    df = spark.createDataFrame([(r["vec_id"], r["embedding"]) for r in rows], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert np.mean([len(got[q] & {i for _, i in want[q]}) / 10 for q in want]) >= 0.9
+    assert kept[0][0] < 0.15 * len(rows)
+
+
+def test_nearest_neighbours_of_other_lengths_and_sizes(spark):
+    data = [(0, [1.0, 0.0]), (1, [1.0, 2.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0]), (100, [1.0]), (4, [1e200, 0.0]), (200, [-1e200, 1.0])]
+    got = ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == [(0, 1, 1), (0, 2, 4), (0, 3, 200), (100, 1, 3), (200, 1, 0), (200, 2, 1), (200, 3, 4)]
+
+
 def test_nearest_neighbours_of_few_and_bad_vectors(spark):
     data = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [0.0, 1.0]), (8, None), (9, [0.0, 0.0]), (10, [float("nan"), 1.0]), (11, [None, 1.0]), (None, [1.0, 1.0]), (200, [float("inf"), 1.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in data], "vec_id long, embedding array<float>, rank string")
