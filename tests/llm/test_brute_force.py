@@ -231,37 +231,41 @@ def test_license_scan_counts_all_places(spark, docs):
         g = got[r["doc_id"]]
         assert (g["n_words"], g["n_base"], g["first_word"], g["last_word"], g["base_labels"]) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
         assert labels <= set(g["labels"].split(",")) | set() and 0 <= g["score"] <= 1
-    assert got[10**6 + 4]["labels"] == "mit-text"
+    assert got[10**6 + 4]["labels"] == "mit-grant"
     assert got[10**6 + 5]["labels"] == "mit,reserved"
 
 
-def test_license_templates_are_found_without_their_rarest_words():
+def plain_labels(words, templates):
+    """Every template held against every place of the words: labels, and the best share."""
+    want, best = set(), 0.0
+    for label, text, keys in templates:
+        t = words_of(text)
+        for s in range(-len(t), len(words) + 1):
+            near = [words[max(0, s + i - 2) : max(0, s + i + 3)] for i in range(len(t))]
+            share = sum(w in x for w, x in zip(t, near, strict=True)) / len(t)
+            around = " " + " ".join(words[max(0, s - 2) : max(0, s + len(t) + 2)]) + " "
+            if share >= 0.75 and all(f" {key} " in around for key in keys):
+                want.add(label)
+                best = max(best, share)
+    return want, best
+
+
+def test_license_templates_are_found_at_all_places():
     rng = random.Random(2)
-    templates = [*license_scan.TEMPLATES, ("free", "one two three four two six seven eight", [])]
+    templates = [*license_scan.TEMPLATES, ("free", "one two three four two six seven eight", []), ("one", "lonely", [])]
     index = license_scan.Index({"obtaining": 9.0, "copy": 8.0, "associated": 7.0, "three": 6.0, "six": 5.0}, templates=templates)
-    mit = license_scan.TEMPLATES[0][1]
-    changed = mit.replace("obtaining", "getting").replace("copy", "duplicate").replace("associated", "related")
-    n = len(mit.split())
-    assert index.scan(["x"] * 5 + changed.split())[4:] == ("mit-text", (n - 3) / n)
+    mit = words_of(license_scan.TEMPLATES[0][1])
+    changed = ["x" if w in ("obtaining", "copy", "associated") else w for w in mit]
+    assert index.scan(["x"] * 5 + changed)[4:] == ("mit-grant", (len(mit) - 3) / len(mit))
     labelled = 0
     for k in range(600):
-        label, text, keys = templates[k % len(templates)]
-        words = text.split()
-        for _ in range(rng.randint(0, 5)):
+        words = words_of(templates[k % len(templates)][1])
+        for _ in range(rng.randint(0, max(5, len(words) // 8))):
             at = rng.randrange(len(words))
             words[at : at + rng.randint(0, 1)] = rng.choice([[], ["x"], [rng.choice(words)]])
             words = words or ["x"]
         words = ["y"] * rng.randint(0, 4) + words + ["y"] * rng.randint(0, 4)
-        want, best = set(), 0.0
-        for label, text, keys in templates:
-            t = text.split()
-            for s in range(-len(t), len(words) + 1):
-                near = [words[max(0, s + i - 2) : max(0, s + i + 3)] for i in range(len(t))]
-                share = sum(w in x for w, x in zip(t, near, strict=True)) / len(t)
-                around = " " + " ".join(words[max(0, s - 2) : max(0, s + len(t) + 2)]) + " "
-                if share >= 0.75 and all(f" {key} " in around for key in keys):
-                    want.add(label)
-                    best = max(best, share)
+        want, best = plain_labels(words, templates)
         n_base, _, _, base, labels, score = index.scan(words)
         assert set(filter(None, labels.split(","))) == want | set(filter(None, base.split(",")))
         assert score == (1.0 if n_base else best)
@@ -269,6 +273,16 @@ def test_license_templates_are_found_without_their_rarest_words():
     assert 100 < labelled < 600
 
 
+def test_license_labels_of_documents(spark, docs, rows):
+    """The labels of whole documents, and IDF values, against plain versions."""
+    index = license_scan.build_index(docs)
+    seen = Counter(w for r in rows for w in set(words_of(r["text"])))
+    assert index.idf == {w: pytest.approx(np.log((len(rows) + 1) / (seen[w] + 1))) for w in index.idf}
+    for r in rows:
+        if len(words := words_of(r["text"])) < 2000:
+            assert set(filter(None, index.scan(words)[4].split(","))) >= plain_labels(words, license_scan.TEMPLATES)[0]
+
+
 def test_proximity_matches(spark):
     docs = spark.createDataFrame([(1, "x one two three four y"), (2, "one two q three four"), (3, "four three two one"), (4, "one two")], "doc_id long, text string")
     items = spark.createDataFrame([(5, "One two three FOUR")], "item_id long, text string")
