@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_by_count, remove, written
 
 #: Rows of a bucket within which rows are numbered by a sort.
 BUCKET_ROWS = 4_000
 #: Rows of a group that go to one task of a join.
 DEALT_ROWS = 1_000
+#: Rounds of propagation at most; it ends before, once no row moves.
+ROUNDS = 10
 
 
 def _uniform(*columns: Column) -> Column:
@@ -24,13 +26,14 @@ def _uniform(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / float(1 << 40)
 
 
-def label_propagation(linked: DataFrame, shards: int, quota: int, rounds: int = 3) -> DataFrame:
+def label_propagation(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
     """``linked(rid, grp, many)`` with a label each: as few labels in a group as ``quota`` rows a label allow.
 
     A group that is larger than the quota keeps rows in other shards. Groups of at most a hundredth of the quota move as
     a whole. Within the last rounds' error (quotas are kept by hashed shares, not by counting out) the labels' sizes
-    stay under the quota.
+    stay under the quota. Equal votes go by a hash. Ends when a round moves nothing, or after ``rounds``.
     """
+    before = None
     labels = linked.withColumn("label", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int"))
     for turn in range(rounds):
         votes = labels.groupBy("grp", "label").agg(F.count("*").alias("n"))
@@ -49,12 +52,18 @@ def label_propagation(linked: DataFrame, shards: int, quota: int, rounds: int =
         share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (quota - F.col("own")) / F.greatest("come", F.lit(1))))
         shares = flow.select("to", share.alias("share"))  # a row for each shard
         mover = F.when(F.col("many") * 100 <= quota, _uniform(F.col("grp"), F.lit(turn))).otherwise(_uniform(F.col("rid"), F.lit(turn)))
-        moved = wish.join(F.broadcast(shares), "to").withColumn("label", F.when(stay | (mover < F.col("share")), F.col("to")).otherwise(F.col("label")))
-        labels = written(moved.select("rid", "grp", "many", "label"), "labels")
+        moves = ~stay & (mover < F.col("share"))
+        moved = wish.join(F.broadcast(shares), "to").select("rid", "grp", "many", F.when(stay | moves, F.col("to")).otherwise(F.col("label")).alias("label"), moves.alias("moved"))
+        labels = written(moved, "labels")
+        remove(before)
+        before, some = labels, not labels.where("moved").isEmpty()
+        labels = labels.drop("moved")
+        if not some:
+            break
     return labels
 
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 3) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame:
     """Shards for all rows of ``docs(doc_id, text)``: doc_id, size, text_crc32, law ("rows"), shard, slot, grown_shard (null).
 
     Size: bytes of the text and 16. Row counts of shards differ by one at most; slots count a shard's rows from 0.
@@ -69,8 +78,9 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 3) -> DataFrame:
     rows = written(rows, "shard-rows")
     total = rows.count()
     least, over = divmod(total, shards)
-    groups = rows.groupBy("grp").agg(F.count("*").alias("many"))
-    joined = written(rows.select("rid", "grp").join(groups.where("many > 1"), "grp").select("rid", "grp", "many"), "linked")
+    groups = written(rows.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1"), "groups")
+    joined = written(join_by_count(rows.select("rid", "grp"), groups, "grp", "many", total).select("rid", "grp", "many"), "linked")
+    remove(groups)
     labels = label_propagation(joined, shards, max(1, least), rounds)
     # rows without links: as many to each label as its linked rows leave free
     held = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row for each shard
@@ -93,6 +103,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 3) -> DataFrame:
     )
     bucket = ["label", "zone", "sub", "salt"]
     placed = written(placed, "placed")
+    remove(rows, joined)
     counts = placed.groupBy(*bucket).agg(F.count("*").alias("n"))
     by_label = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
     first, at = {}, 0
