@@ -3,8 +3,8 @@
 A sketch is the ``PICKED`` smallest hashes of a text's shingles, each labelled by its occurrence, kept in text order:
 two texts share one if they have the same shingles in the same order often enough. Texts that share a sketch are
 candidates. Short texts, where few sketches can be shared, are candidates too if they share one of their rarest
-shingles, so many of these that none of their pairs is missed. A bucket's texts are not paired with each other but with a few leaders, those with most company over all
-sketches. Where a bucket's texts are still in several components, an index of their shingles finds those pairs between
+shingles, so many of these that none of their pairs is missed. A bucket's texts are not paired with each other but with
+a few leaders, those with most company over all sketches. Where a bucket's texts are still in several components, an index of their shingles finds those pairs between
 components that may be linked, and these are aligned too.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, py_words, release_memory, small, words, written
+from .common import bounded_batches, join_by_count, py_words, release_memory, remove, small, words, written
 
 SHINGLE = 5
 #: Sketches of a text, and shingles in one: of pairs with similarity 0.8 and many shingles, 1 - (1 - 0.8**5)**20 = 99.96 %
@@ -28,8 +28,9 @@ PICKED = 5
 SHORT = 40
 #: Texts of a bucket that all others of it are aligned with.
 LEADERS = 3
-#: Texts whose shingles are indexed together where a bucket's texts are still in several components.
-BLOCK = 2048
+#: Texts, and shingles of texts, that are indexed together where a bucket's texts are still in several components, about.
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 18
 _U = np.uint64
 
 
@@ -227,11 +228,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _likely_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Of ``members(bucket, content, comp, many)``: pairs (a, b) of a bucket's texts in different components whose shingles
+    """Of ``members(bucket, content, comp, blocks)``: pairs (a, b) of a bucket's texts in different components whose shingles
     have that similarity as multisets, which an alignment cannot exceed.
 
-    A bucket's shingles are indexed in one task, in blocks of ``BLOCK`` texts and pairs of such blocks where there are
-    more; only pairs that pass leave it.
+    A bucket's shingles are indexed in its blocks and pairs of blocks, each in a group of its own; only pairs that pass
+    leave it. A text's shingles are all different, so that it meets each posting of its group once at most.
     """
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,9 +245,8 @@ def _likely_links(members: DataFrame, texts: DataFrame, similarity: float) -> Da
                 hashes = (np.array([xxhash.xxh64_intdigest(w) for w in py_words(t)], np.uint64) for t in batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([maker.shingles(h).astype("<u4").tobytes() for h in hashes], pa.binary())], ["content", "shingles"])
 
-    blocks = F.ceil(F.col("many") / BLOCK)
-    own = F.pmod("content", blocks)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    own = F.pmod(F.xxhash64("content"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     spread = members.withColumn("own", own).withColumn("other", other).select("bucket", "content", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     wanted = small(members.select("content").distinct())
     made = written(texts.join(wanted, "content", "left_semi").mapInArrow(shingled, "content long, shingles binary"), "shingles")
@@ -286,13 +286,14 @@ def content_classes(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame
     short = rows.where("short is not null").select("content", "n", "short").dropDuplicates(["content"])
     each = each.unionByName(_short_buckets(short, similarity))
     full = each.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
-    members = written(each.join(full, "bucket"), "members")
-    company = members.groupBy("content").agg(F.sum("many").alias("company"))
-    members = written(members.join(company, "content").select("bucket", "content", "n", "company"), "ranked")
+    shared = written(each.join(full, "bucket"), "members")
+    company = shared.groupBy("content").agg(F.sum("many").alias("company"))
+    members = written(shared.join(company, "content").select("bucket", "content", "n", "company"), "ranked")
+    remove(shared)
     # the text of each content in a bucket: that of its least doc_id
     needed = members.select("content").distinct()
-    rep = written(rows.join(needed, "content", "left_semi").groupBy("content").agg(F.min("doc_id").alias("doc_id")), "representatives")
-    ids, rep = small(rep.select("doc_id"), 1_000_000), small(rep.select(F.col("content").alias("rep"), F.col("doc_id").alias("rep_id")), 1_000_000)
+    rep_table = written(rows.join(needed, "content", "left_semi").groupBy("content").agg(F.min("doc_id").alias("doc_id")), "representatives")
+    ids, rep = small(rep_table.select("doc_id"), 1_000_000), small(rep_table.select(F.col("content").alias("rep"), F.col("doc_id").alias("rep_id")), 1_000_000)
     chosen = plain.join(ids.withColumnRenamed("doc_id", "some_id"), F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi").withColumn("content", _content(F.col("text")))
     texts = chosen.join(rep, (F.col("content") == F.col("rep")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
     texts = written(texts.select("content", "text").dropDuplicates(["content"]), "texts")
@@ -306,12 +307,14 @@ def content_classes(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame
     comps = connected_components(links)
     # where texts of a bucket are still in several components: all that may be linked between these, by common shingles
     of = comps.select(F.col("node").alias("content"), F.col("comp").alias("of"))
-    placed = members.join(of, "content", "left").select("bucket", "content", F.coalesce("of", "content").alias("comp"))
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("many")).where(f"x <> y and many > {LEADERS}")
-    rest = placed.join(several.select("bucket", "many"), "bucket")
+    placed = members.join(of, "content", "left").select("bucket", "content", "n", F.coalesce("of", "content").alias("comp"))
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("many"), F.sum("n").alias("shingles")).where(f"x <> y and many > {LEADERS}")
+    blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.least("many", F.ceil(F.col("shingles") / BLOCK_SHINGLES)))
+    rest = placed.join(several.select("bucket", blocks.alias("blocks")), "bucket").select("bucket", "content", "comp", "blocks")
     further = written(_likely_links(rest, texts, similarity).join(pairs, ["a", "b"], "left_anti").distinct(), "further-pairs")
     if not further.isEmpty():
         comps = connected_components(links.unionByName(written(_verified(further, texts, similarity), "further-links")))
+    remove(members, rep_table, texts, pairs, links, further)
     return rows.select("doc_id", "content"), comps
 
 
@@ -325,17 +328,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     columns are ignored; an empty table gives no rows.
     """
     rows, comps = content_classes(docs, similarity)
-    per_content = rows.where(F.col("content").isNotNull()).groupBy("content").agg(F.min("doc_id").alias("least"), F.count("*").alias("many"))
-    labelled = per_content.join(comps.withColumnRenamed("node", "content"), "content", "left").withColumn("comp", F.coalesce("comp", "content"))
-    whole = labelled.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("many").alias("class_size"))
-    classes = labelled.join(whole, "comp").select(F.col("content").alias("of"), "class_id", "class_size")
-    out = rows.join(classes, F.col("content") == F.col("of"), "left")
-    alone = F.col("content").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"))
+    worded = rows.where(F.col("content").isNotNull())
+    per_content = worded.groupBy("content").agg(F.min("doc_id").alias("least"), F.count("*").alias("many"))
+    labelled = written(per_content.join(comps.withColumnRenamed("node", "content"), "content", "left").withColumn("comp", F.coalesce("comp", "content")), "labelled")
+    whole = written(labelled.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("many").alias("class_size"), F.count("*").alias("contents")), "whole-classes")
+    classes = written(join_by_count(labelled, whole, "comp", "contents", labelled.count()).select("content", "many", "class_id", "class_size"), "classes")
+    remove(labelled, whole)
+    out = join_by_count(worded, classes, "content", "many", rows.count()).select("doc_id", "class_id", "class_size")
+    alone = rows.where(F.col("content").isNull())
+    return out.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
 def first_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, with their columns, of which one of each group stays: that of its least doc_id (see near_duplicates)."""
+    """The rows of docs, with their columns, of which one of each group stays: that of its least doc_id (see near_duplicates).
+
+    Of rows equal in doc_id and words any one; rows without words all stay.
+    """
     rows, comps = content_classes(docs, similarity)
     worded = rows.where(F.col("content").isNotNull())
     least = worded.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("x"))).alias("first"))
