@@ -514,6 +514,57 @@ def test_components(spark, edges):
     assert len({(got[n], want[n]) for n in nodes}) == len(set(got.values())) == len(set(want.values()))
 
 
+def test_toxicity_against_a_plain_version(spark, sf, rows):
+    """n-grams, ratios, features and the scores of a fitted model, text by text."""
+    label = {r["doc_id"]: r["toxic"] for r in table(spark, sf, "labels").collect() if r["toxic"] is not None}
+    known = [(r["doc_id"], r["text"], label[r["doc_id"]]) for r in rows if r["doc_id"] in label]
+    model = toxicity.train(spark.createDataFrame(known, "doc_id long, text string, label int"))
+
+    def own(text):
+        t, out = f" {text or ''} ".lower(), set()
+        for n in toxicity.LENGTHS:
+            for k in range(len(t) - n + 1):
+                h = n
+                for c in t[k : k + n]:
+                    h = (h ^ ord(c)) * 0x01000193 % 2**32
+                h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+                out.add(h >> 32 - toxicity.BITS)
+        return out
+
+    found = [(own(t), y) for _, t, y in known]
+    yes, no = sum(y for _, y in found), sum(1 - y for _, y in found)
+    n_yes, n_no = Counter(g for s, y in found if y for g in s), Counter(g for s, y in found if not y for g in s)
+    ratio = {g: np.log((n_yes[g] + 1) / (yes + 2)) - np.log((n_no[g] + 1) / (no + 2)) for g in {*n_yes, *n_no} if n_yes[g] + n_no[g] >= 3}
+    telling = {g: abs(x) * np.sqrt(n_yes[g] + n_no[g] * yes / no) for g, x in ratio.items()}
+    least = sorted(telling.values(), reverse=True)[: toxicity.FEATURES][-1]
+    used = set(model.grams.tolist())
+    assert len(used) == min(toxicity.FEATURES, len(ratio)) and {g for g, x in telling.items() if x > least * 1.0001} <= used
+    assert min(telling[g] for g in used) >= least * 0.9999
+    # the weights are where the penalized loss is least: a step of its gradient changes nothing
+    order = model.grams.tolist()
+    x = np.array([[ratio[g] * (g in s) for g in order] for s, _ in found])
+    y = np.array([y for _, y in found], float)
+    w = model.weights / np.array([ratio[g] for g in order])
+    p = 1 / (1 + np.exp(-(x @ w + model.bias)))
+    assert np.abs(x.T @ (p - y) / len(y) + toxicity.L2 / len(y) * w).max() < 1e-4 and abs((p - y).mean()) < 1e-3
+    got = {r["text"]: r["s"] for r in table(spark, sf, "documents").select("text", toxicity.score(model, F.col("text")).alias("s")).collect()}
+    weight = dict(zip(order, model.weights.astype(float), strict=True))
+    for r in rows:
+        if len(r["text"]) < 5000:
+            z = sum(weight.get(g, 0.0) for g in own(r["text"])) + model.bias
+            assert got[r["text"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_fitting_in_chunks_is_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(30, rng.integers(0, 12), replace=False)).astype("<u2") for _ in range(200)]
+    y, ratio = rng.integers(0, 2, 200).astype(float), rng.normal(size=30)
+    w, b = toxicity._fit(rows, y, ratio)
+    monkeypatch.setattr(toxicity, "CHUNK", 17)
+    again, c = toxicity._fit(rows, y, ratio)
+    assert np.allclose(w, again) and b == pytest.approx(c)
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     label = {r["doc_id"]: r["toxic"] for r in table(spark, sf, "labels").collect()}
