@@ -56,7 +56,7 @@ def detect_format(name: Column, content: Column) -> Column:
     lower = F.lower(name)
     magic = F.hex(F.substring(content, 1, 4))
     head = F.decode(F.substring(content, 1, HEADER_BYTES), "ISO-8859-1")
-    first = F.substring(F.ltrim(F.decode(content, "ISO-8859-1"), F.lit(" \t\n\r")), 1, 1)
+    first = F.substring(F.ltrim(head, F.lit(" \t\n\r")), 1, 1)
     start = F.lower(F.ltrim(F.substring(head, 1, 1024), F.lit("\t\n\x0b\x0c\r \x85\xa0")))
     by_extension = F.lit("unknown")
     for fmt, extensions in reversed(_EXTENSIONS):

@@ -64,8 +64,16 @@ def noise_blocks(output: DataFrame, golden: DataFrame, most: int = 5) -> DataFra
     return rest.withColumn("k", rank).where(F.col("k") <= most).select("name", "no", "text")
 
 
-def nearest_rank(values: Column, share: float = 0.95) -> Column:
-    """The value at floor(n * share) of the sorted values, an aggregate; null if there are none."""
-    v = F.sort_array(F.collect_list(values))
-    at = F.least(F.floor(F.size(v) * share).cast("int"), F.size(v) - 1)
-    return F.when(F.size(v) > 0, F.element_at(v, at + 1))
+def nearest_rank(rows: DataFrame, by: list[str], value: str, share: float = 0.95) -> DataFrame:
+    """Of each group by the columns ``by``: these, and ``value`` at floor(n * share) of its sorted values.
+
+    By counts of equal values, so that a large group is not gathered in one place. Nulls do not count; a group without
+    values has no row.
+    """
+    from pyspark.sql import Window
+
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by)
+    ranked = counts.withColumn("__upto", F.sum("__n").over(w.orderBy(value))).withColumn("__all", F.sum("__n").over(w))
+    at = F.least(F.floor(F.col("__all") * share), F.col("__all") - 1)
+    return ranked.where((F.col("__upto") > at) & (F.col("__upto") - F.col("__n") <= at)).select(*by, value)

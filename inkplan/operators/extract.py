@@ -8,11 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse, parse_html
-from ..functions.text import is_blank, trim
 from .extract_text import text_block_array
 from .render import render_blocks
 
@@ -62,11 +61,14 @@ def _parsed(docs: DataFrame, parsers: dict[str, Callable]) -> DataFrame:
 def extracted(docs: DataFrame, parsers: dict[str, Callable] = PARSERS) -> DataFrame:
     """``docs(doc_id[, name], format, text)`` in any format but PDF, a row each: blocks, item_count, error_type, error_message.
 
-    A document stays in one row, so nothing is shuffled. Errors: unsupported (another format, or null), corrupt (a null
+    A document stays in one row, so nothing is shuffled. Errors: unsupported (another format, or null; where docs have
+    content, also null content), corrupt (a null
     text or one that does not parse), noText. A blank text or Markdown file has no blocks and no error. ``parsers`` may
     have functions for further formats.
     """
     known = F.coalesce(F.col("format"), F.lit("unknown"))
+    if "content" in docs.columns:
+        known = F.when(F.col("content").isNull(), "missing").otherwise(known)
     plain = docs.where(known.isin("text", "markdown"))
     text, name = F.col("text").cast("string"), F.col("name") if "name" in docs.columns else None
     blocks, unread = text_block_array(text, name), text.isNull()
@@ -97,24 +99,3 @@ def parsed_outcomes(docs: DataFrame, fmt: str) -> DataFrame:
 def parsed_markdown(docs: DataFrame, fmt: str) -> DataFrame:
     """doc_id, markdown of ``docs(doc_id, text)``, all of one format; documents without blocks have no row."""
     return _of_format(docs, fmt).where(F.size("blocks") > 0).select("doc_id", render_blocks(F.col("blocks")).alias("markdown"))
-
-
-# --- native forms of what simple inputs need
-
-
-def csv_line_cells(line: Column) -> Column:
-    """The cells of a CSV line without quotes, as the table has them."""
-    return F.transform(F.split(F.replace(line, F.lit("\r"), F.lit("")), ","), lambda c: F.replace(c, F.lit("|"), F.lit("\\|")))
-
-
-def csv_table(text: Column) -> Column:
-    """The Markdown table of a CSV text without quotes, in column functions; null if there are no rows."""
-    rows = F.filter(F.split(text, "\n"), lambda x: ~is_blank(F.replace(F.replace(x, F.lit(","), F.lit("")), F.lit("\r"), F.lit(""))))
-    lines = F.transform(rows, lambda x: F.concat(F.lit("| "), F.array_join(csv_line_cells(x), " | "), F.lit(" |")))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(csv_line_cells(rows[0]), lambda _: F.lit("---")), " | "), F.lit(" |"))
-    table = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n")
-    return F.when(F.size(rows) > 0, table)
-
-
-def trimmed_or_null(text: Column) -> Column:
-    return F.when(~is_blank(text), trim(text))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,12 @@ def error_text(error_type: Column, message: Column) -> Column:
     return F.when(F.length(message) > 0, message).otherwise(fixed)
 
 
-def status_summary(jobs: DataFrame) -> DataFrame:
-    """One row for ``jobs(status, page, total)``: counts by state, mean progress of running ones, and the batch's state."""
+def status_summary(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row for ``jobs(status, page, total)``, or one for each batch by the columns ``by``: counts by state, mean
+    progress of running ones, and the batch's state."""
     n = lambda s: F.count_if(F.col("status") == s)
     running = F.col("status") == "running"
-    sums = jobs.agg(
+    sums = jobs.groupBy(*by).agg(
         F.count("*").alias("all_jobs"), F.count_if(F.col("status") != "queued").alias("completed"), n("done").alias("done"), n("failed").alias("failed"),
         n("running").alias("running"), F.avg(F.when(running, progress_fraction(F.col("page"), F.col("total")))).alias("progress"),
         F.coalesce(F.bool_and(F.col("status") != "queued"), F.lit(True)).alias("all_started"),
@@ -40,11 +43,12 @@ def status_summary(jobs: DataFrame) -> DataFrame:
     return sums.withColumn("state", state)
 
 
-def batch_warning(jobs: DataFrame, many: int = 10, long: int = 100) -> DataFrame:
-    """One row: whether there are more jobs than ``many`` (large_batch), else the first job by seq with more pages than ``long`` (large_file, name)."""
-    sums = jobs.agg(F.count("*").alias("n"), F.min_by("name", F.when(F.col("page_count") > long, F.col("seq"))).alias("name"), F.count_if(F.col("page_count") > long).alias("long"))
+def batch_warning(jobs: DataFrame, many: int = 10, long: int = 100, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each batch by the columns ``by``: whether there are more jobs than ``many`` (large_batch), else
+    the first job by seq with more pages than ``long`` (large_file, name)."""
+    sums = jobs.groupBy(*by).agg(F.count("*").alias("n"), F.min_by("name", F.when(F.col("page_count") > long, F.col("seq"))).alias("name"), F.count_if(F.col("page_count") > long).alias("long"))
     kind = F.when(F.col("n") > many, "large_batch").when(F.col("long") > 0, "large_file")
-    return sums.select(kind.alias("warning"), F.when(kind == "large_file", F.col("name")).alias("name"), F.col("n").alias("all_jobs"))
+    return sums.select(*by, kind.alias("warning"), F.when(kind == "large_file", F.col("name")).alias("name"), F.col("n").alias("all_jobs"))
 
 
 def job_table(results: DataFrame) -> DataFrame:

@@ -1,12 +1,18 @@
 """From positioned text spans to lines, paragraphs and blocks, page by page.
 
 spans: doc_id, page, seq, text, x_left, x_right, y_bottom, y_top, font_size; y grows upwards. Everything but the body
-font size is local to a page, so one shuffle by (doc_id, page) serves all windows and groupings below it.
+font size is local to a page: spans are shuffled by (doc_id, page) once, and what comes of them, far fewer lines, once
+more for all windows and groupings over these.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LayoutConfig
@@ -42,32 +48,76 @@ def group_lines(spans: DataFrame, config: LayoutConfig = LayoutConfig()) -> Data
     """lines: doc_id, page, line_no, text, first_x, y_top, y_bottom, font_size.
 
     Spans go from the top down; one joins the line before it if its centre is near enough to that line's. Equal centres
-    and equal left edges go by seq. The fold over a page's spans keeps the open line's box and gives each span its line.
+    and equal left edges go by seq. Each span depends on the line that is open before it: the spans, sorted by page,
+    go through a kernel on Arrow batches that folds over them and holds one page at most besides a batch.
     """
     centre = (F.col("y_top") + F.col("y_bottom")) / 2
-    one = F.struct((-centre).alias("k"), "seq", "text", "x_left", "y_bottom", "y_top", "font_size")
-    pages = spans.groupBy(*PAGE).agg(F.sort_array(F.collect_list(one)).alias("s"))
-    start = F.struct(F.lit(-1).alias("no"), F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"), F.lit(0.0).alias("tall"), F.array().cast("array<int>").alias("nos"))
-
-    def merge(a: Column, s: Column) -> Column:
-        h = s["y_top"] - s["y_bottom"]
-        tall = F.greatest(a["tall"], h)
-        same = (a["no"] >= 0) & (F.abs((s["y_top"] + s["y_bottom"]) / 2 - (a["top"] + a["bottom"]) / 2) <= tall * config.line_tolerance_factor)
-        no = F.when(same, a["no"]).otherwise(a["no"] + 1)
-        return F.struct(
-            no.alias("no"), F.when(same, F.greatest(a["top"], s["y_top"])).otherwise(s["y_top"]).alias("top"),
-            F.when(same, F.least(a["bottom"], s["y_bottom"])).otherwise(s["y_bottom"]).alias("bottom"),
-            F.when(same, tall).otherwise(h).alias("tall"), F.array_append(a["nos"], no).alias("nos"),
-        )
-
-    numbered = pages.select(*PAGE, F.explode(F.zip_with("s", F.aggregate("s", start, merge)["nos"], lambda s, n: F.struct(n.alias("line_no"), s.alias("s")))).alias("e"))
-    e = F.col("e.s")
-    parts = F.sort_array(F.collect_list(F.struct(e["x_left"].alias("x"), e["seq"].alias("seq"), e["text"].alias("text"))))
-    return (
-        numbered.groupBy(*PAGE, F.col("e.line_no").alias("line_no"))
-        .agg(parts.alias("p"), F.max(e["y_top"]).alias("y_top"), F.min(e["y_bottom"]).alias("y_bottom"), F.max(e["font_size"]).alias("font_size"))
-        .select(*PAGE, "line_no", F.array_join("p.text", "").alias("text"), F.col("p")[0]["x"].alias("first_x"), "y_top", "y_bottom", "font_size")
-    )
+    doubles = [F.col(c).cast("double").alias(c) for c in ("x_left", "y_bottom", "y_top", "font_size")]
+    rows = spans.select(*PAGE, F.col("seq").cast("long").alias("seq"), "text", *doubles, (-centre).alias("k"))
+    ordered = rows.repartition(*PAGE).sortWithinPartitions(*PAGE, "k", "seq", "text", "x_left").drop("k")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:2])
+    return ordered.mapInArrow(_folder(config.line_tolerance_factor), f"{kinds}, line_no int, text string, first_x double, y_top double, y_bottom double, font_size double")
+
+
+def _folder(tolerance: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of batches of sorted spans, batches of their lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the page that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cut = int(_page_starts(batch)[-1])
+            if held and not cut and _page(held[-1], held[-1].num_rows - 1) == _page(batch, 0):
+                held.append(batch)
+                continue
+            if held or cut:
+                yield _lines([*held, batch.slice(0, cut)], tolerance)
+            held = [batch.slice(cut)]
+        if held:
+            yield _lines(held, tolerance)
+
+    return run
+
+
+def _page(batch: pa.RecordBatch, row: int) -> tuple:
+    return batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+
+
+def _page_starts(batch: pa.RecordBatch) -> np.ndarray:
+    ends = [pc.run_end_encode(batch.column(k)).run_ends.to_numpy() for k in (0, 1)]
+    return np.concatenate([[0], np.union1d(*ends)[:-1]])
+
+
+def _lines(batches: list[pa.RecordBatch], tolerance: float) -> pa.RecordBatch:
+    """The lines of whole pages."""
+    spans = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    seq, x, bottoms, tops, sizes = (np.asarray(spans.column(k).to_numpy(zero_copy_only=False), float) for k in (2, 4, 5, 6, 7))  # null is NaN
+    pages = _page_starts(spans)
+    begins = np.zeros(len(seq), bool)
+    begins[pages] = True
+    fresh = begins.tolist()
+    top = bottom = tall = 0.0
+    for i, (t, b) in enumerate(zip(tops.tolist(), bottoms.tolist(), strict=True)):
+        h = t - b
+        taller = h if h > tall else tall
+        if not fresh[i] and abs((t + b) / 2 - (top + bottom) / 2) <= taller * tolerance:
+            top, bottom, tall = max(top, t), min(bottom, b), taller
+        else:
+            fresh[i] = True
+            top, bottom, tall = t, b, h
+    begins = np.array(fresh)
+    line = np.cumsum(begins) - 1
+    starts = np.flatnonzero(begins)
+    first = lambda v: np.where(np.isnan(v), -np.inf, v)
+    order = np.lexsort((first(seq), first(x), line))
+    text = pc.fill_null(spans.column(3).take(pa.array(order)), "")
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([*starts, len(seq)], pa.int32()), text), "")
+    at = pa.array(starts)
+    no = np.arange(len(starts)) - np.repeat(line[pages], np.diff([*line[pages], len(starts)]))
+    measures = (x[order][starts], np.fmax.reduceat(tops, starts), np.fmin.reduceat(bottoms, starts), np.fmax.reduceat(sizes, starts))
+    columns = [spans.column(0).take(at), spans.column(1).take(at), pa.array(no, pa.int32()), joined, *(pa.array(m, from_pandas=True) for m in measures)]
+    return pa.RecordBatch.from_arrays(columns, [*PAGE, "line_no", "text", "first_x", "y_top", "y_bottom", "font_size"])
 
 
 def mark_headings(lines: DataFrame, stats: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:

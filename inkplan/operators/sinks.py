@@ -2,43 +2,49 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _local(folder: str) -> str:
-    return folder.removeprefix("file://")
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's address, and the folder in it."""
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
 
 
-def write_files(jobs: DataFrame, folder: str) -> DataFrame:
+def write_files(jobs: DataFrame, folder: str, target: Callable[[str], tuple[fs.FileSystem, str]] = store_of) -> DataFrame:
     """Write the content of done jobs to a file each, named by doc_id and output_name, in a folder all executors share: doc_id, path, n_bytes.
 
     A file is written beside its place and then moved there, so that a reader, or a task that runs again, meets whole
-    files only. UTF-8 with line feeds as they are.
+    files only. UTF-8 with line feeds as they are. ``target`` may be another function from the folder's address to a
+    file system and a folder in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(_local(folder), exist_ok=True)
+        store, at = target(folder)
+        store.create_dir(at, recursive=True)
         for batch in batches:
             ids, names, texts = (c.to_pylist() for c in batch.columns)
             paths, sizes = [], []
             for doc_id, name, text in zip(ids, names, texts, strict=True):
-                path = f"{_local(folder)}/{doc_id}-{os.path.basename(name)}"
+                path = f"{at}/{doc_id}-{os.path.basename(name)}"
                 data = text.encode()
-                part = f"{path}.{os.getpid()}.partial"
+                part = f"{path}.{uuid.uuid4().hex}.partial"
                 try:
-                    with open(part, "wb") as f:
+                    with store.open_output_stream(part) as f:
                         f.write(data)
-                    os.replace(part, path)
+                    store.move(part, path)
                 except BaseException:
-                    if os.path.exists(part):
-                        os.remove(part)
+                    with contextlib.suppress(OSError):
+                        store.delete_file(part)
                     raise
                 paths.append(path)
                 sizes.append(len(data))

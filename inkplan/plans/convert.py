@@ -47,8 +47,15 @@ def convert_pdf(inputs: DataFrame, config: LayoutConfig = LayoutConfig(), reader
 def convert(inputs: DataFrame, config: LayoutConfig = LayoutConfig(), strict: bool = False, pdf_reader: Reader = read_pages, parsers: dict[str, Callable] = PARSERS) -> DataFrame:
     """jobs of ``inputs(doc_id, name, content, format)`` in all formats, a row each.
 
-    Only PDF files are shuffled, by document and page; all others are converted where they are read.
+    Only PDF files are shuffled, by document and page; all others are converted where they are read. Inputs with null
+    content are unsupported.
     """
-    rows = extracted(decoded(inputs.where("format is null or format <> 'pdf'"), strict), parsers)
+    rows = extracted(decoded(inputs.where("format is null or format <> 'pdf' or content is null"), strict), parsers)
     rest = rows.select("doc_id", "name", "format", render_blocks(F.col("blocks")).alias("markdown"), "item_count", F.array().cast("array<int>").alias("failed_pages"), F.lit(None).cast("double").alias("body_font_size"), "error_type", "error_message")
-    return job_table(rest.unionByName(convert_pdf(inputs.where("format = 'pdf'"), config, pdf_reader)))
+    return job_table(rest.unionByName(convert_pdf(inputs.where("format = 'pdf' and content is not null"), config, pdf_reader)))
+
+
+def convert_again(jobs: DataFrame, inputs: DataFrame, config: LayoutConfig = LayoutConfig(), **how) -> DataFrame:
+    """jobs with those that are not done converted anew from their inputs, with the keywords of ``convert``; the others stay."""
+    done = jobs.where("status = 'done'")
+    return done.unionByName(convert(inputs.join(done.select("doc_id"), "doc_id", "left_anti"), config, **how))

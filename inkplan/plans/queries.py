@@ -6,14 +6,15 @@ arithmetic on ids and positions; all queries run over whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import detect, evaluate, extract, extract_text, jobs, layout, preview, render
-from ..sources import files, synth
+from ..sources import files, pdf, synth
 from .convert import convert, spans_markdown, text_markdown
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -239,6 +240,14 @@ blocks as (select doc_id, page, para_no, item_no, min(type) as type, case when m
 """
 
 
+#: The same lines, as a PDF file of each document shows them: a text for each line that is not empty, and one page of seven damaged.
+_PDF_GEOMETRY = _GEOMETRY[: _GEOMETRY.index("words as")] + """
+kept as (select *, y + ((doc_id + i * 3) % 3) * 0.5::double as b from geo where line <> '' and (doc_id + page) % 7 <> 0),
+lines as (select doc_id, page, (row_number() over (partition by doc_id, page order by i) - 1)::int as line_no, line as text, x0 as first_x, b + h as y_top, b as y_bottom, h as font_size from kept),
+heights as (select doc_id, round(h / 0.5) * 0.5 as bucket, count(*) as n from kept group by 1, 2),
+""" + _GEOMETRY[_GEOMETRY.index("scored as") :]
+
+
 def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     d, i = F.col("doc_id"), F.col("i")
@@ -327,6 +336,58 @@ def layout_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.render_documents(layout.classify(_paragraphs(spark, sf_dir)))
 
 
+# --- PDF files
+
+
+def _pdf_of(doc_id: int, text: str) -> bytes:
+    """A document's lines as a PDF file: with plain or packed objects, and Latin or Unicode codes."""
+    pages: dict[int, list[tuple[str, float, float, float]]] = {}
+    for i, line in enumerate(text.split("\n")):
+        page, r = divmod(i, _LINES_ON_PAGE)
+        line = ("- " if (doc_id + i) % 6 == 0 else "") + line
+        h = (18.0 if (doc_id + i) % 9 == 0 else 12.0) + (doc_id * 3 + i) % 3 * 0.25
+        bottom = 780 - 20 * r - 15 * ((doc_id % 4 + r) // 4) + (doc_id + i * 3) % 3 * 0.5
+        own = pages.setdefault(page, [])
+        if line:
+            own.append((line, h, 92.0 if (doc_id + i) % 5 == 0 else 72.0, bottom + h / 4))
+    latin = doc_id % 5 == 4 and text.encode("cp1252", "replace").decode("cp1252") == text
+    broken = [p for p in pages if (doc_id + p) % 7 == 0]
+    return pdf.write_pdf([pages[p] for p in sorted(pages)], doc_id % 2 == 0, not latin, doc_id % 3 == 0, (750, -250), broken)
+
+
+def _pdf_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                yield pa.RecordBatch.from_pydict({"doc_id": ids, "content": pa.array([_pdf_of(i, t) for i, t in zip(ids, texts, strict=True)], pa.binary())})
+
+    made = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, content binary")
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return made.withColumn("name", name).withColumn("format", detect.detect_format(F.col("name"), F.col("content")))
+
+
+@query(
+    _PDF_GEOMETRY
+    + r""",
+marks as (select *, case type when 'heading' then '# ' when 'listItem' then '- ' else '' end || case when regexp_matches(text, '^([#>*+-]|[0-9]+\.)') then '\' else '' end || replace(text, '`', '\`') || chr(10) as md from blocks),
+md as (select doc_id, string_agg(md, chr(10) order by page, para_no, item_no) as markdown from marks group by doc_id),
+each as (select doc_id, page, (doc_id + page) % 7 = 0 as broken, (doc_id + page) % 7 = 0 or bool_and(line = '') as empty from geo group by doc_id, page),
+files as (select doc_id, count(*)::int as page_count, count(*) filter (empty) / count(*) >= 0.95 as scanned, coalesce(string_agg((page + 1)::varchar, ',' order by page) filter (broken), '') as failed_pages from each group by doc_id)
+select doc_id, page_count, case when scanned then 'failed' else 'done' end as status, case when scanned then 'noText' end as error_type, failed_pages, case when not scanned then coalesce(markdown, '') end as content
+from files left join md using (doc_id)
+"""
+)
+def pdf_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the bytes of a PDF file, converted."""
+    return convert(_pdf_inputs(spark, sf_dir)).select("doc_id", F.col("page_count").cast("int").alias("page_count"), "status", "error_type", F.array_join("failed_pages", ",").alias("failed_pages"), "content")
+
+
+@query("select doc_id, greatest(1, ceil(len(string_split(text, chr(10))) / 12))::int as page_count, null::varchar as error_type from documents")
+def pdf_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf.probe(_pdf_inputs(spark, sf_dir)).select("doc_id", "page_count", "error_type")
+
+
 # --- formats
 
 
@@ -370,9 +431,61 @@ def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
 
 
-@query()
+#: Web pages that are written from the documents' lines: an element for each line, with some end tags left out.
+_WRITTEN_HTML = """
+with l as (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as i from documents),
+e as (select doc_id, i, ((doc_id + i) % 7)::int as kind, trim(regexp_replace(x, '[\t-\r ]+', ' ', 'g')) as x, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) as code from l where trim(x) <> ''),
+b as (
+  select doc_id, i, 0 as part, 'heading' as type, (i % 6 + 1)::int as level, x as text, null as raw from e where kind = 0
+  union all select doc_id, i, 0, 'paragraph', 0, x, null from e where kind = 1
+  union all select doc_id, i, 0, 'listItem', 0, x, null from e where kind = 2
+  union all select doc_id, i, 1, 'listItem', 0, '_more_', null from e where kind = 2
+  union all select doc_id, i, 0, 'raw', 0, null, '> ' || x from e where kind = 3
+  union all select doc_id, i, 0, 'raw', 0, null, '```' || chr(10) || code || chr(10) || '```' from e where kind = 4
+  union all select doc_id, i, 0, 'paragraph', 0, '**line ' || i || '** ' || x || ' link (/u?a=1&b=2)', null from e where kind = 5
+  union all select doc_id, i, 0, 'raw', 0, null, '| no | text |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || i || ' | ' || replace(x, '|', '\\|') || ' |' from e where kind = 6),
+o as (select *, row_number() over (partition by doc_id order by i, part) - 1 as block_no from b)
+"""
+
+
+def _written_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def element(x: Column, i: Column) -> Column:
+        t = F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        kind, n = (F.col("doc_id") + i) % 7, i.cast("string")
+        level = (i % 6 + 1).cast("string")
+        c = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        return (
+            F.when(F.trim(x) == "", "\n")
+            .when(kind == 0, c("<div><H", level, " class=x>", t, "</H", level, "></div>"))
+            .when(kind == 1, c("<p>", t))
+            .when(kind == 2, c("<ul><!-- <li> --><li>", t, "<li><em>more</em></ul>"))
+            .when(kind == 3, c("<blockquote>", t, "</blockquote>"))
+            .when(kind == 4, c("<pre>", t, "</pre>"))
+            .when(kind == 5, c("<section><p><strong>line ", n, "</strong> ", t, " <a href='/u?a=1&amp;b=2'>link</a></p></section>"))
+            .otherwise(c("<table><tr><th>no<th>text<tr><td>", n, "<td>", t, "</table>"))
+        )
+
+    docs = table(spark, sf_dir, "documents")
+    body = F.array_join(F.transform(F.split("text", "\n"), element), "\n")
+    return docs.select("doc_id", F.concat(F.lit("<!DOCTYPE html><html><head><title>t</title><script>if (a < b) {'</p>'}</script></head><body>"), body, F.lit("</body></html>")).alias("text"))
+
+
+@query(_WRITTEN_HTML + "select doc_id, block_no, type, level, text, raw from o")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.parsed_blocks(_html(spark, sf_dir), "html").select("doc_id", "block_no", "type", "level", F.array_join("lines", "\n").alias("text"), "raw")
+    blocks = extract.parsed_blocks(_written_html(spark, sf_dir), "html")
+    return blocks.select("doc_id", F.col("block_no").cast("long").alias("block_no"), "type", "level", F.array_join("lines", "\n").alias("text"), "raw")
+
+
+@query(
+    _WRITTEN_HTML
+    + r""",
+m as (select doc_id, block_no, case when type = 'raw' then raw else case type when 'heading' then repeat('#', level) || ' ' when 'listItem' then '- ' else '' end
+                                || case when regexp_matches(text, '^([#>*+-]|[0-9]+\.)') then '\' else '' end || replace(text, '`', '\`') end || chr(10) as md from o)
+select doc_id, string_agg(md, chr(10) order by block_no) as markdown from m group by doc_id
+"""
+)
+def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.parsed_markdown(_written_html(spark, sf_dir), "html")
 
 
 @query(
@@ -385,11 +498,6 @@ def html_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.count_if(F.col("type") == "heading").alias("headings"), F.count_if(F.col("type") == "listItem").alias("list_items"))
 
 
-@query()
-def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.parsed_markdown(_html(spark, sf_dir), "html")
-
-
 # --- jobs
 
 _JOBS = """
@@ -409,18 +517,27 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _JOBS
     + """
-select count(*) as all_jobs, count(*) filter (status <> 'queued') as completed, count(*) filter (status = 'done') as done, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'running') as running,
-       round(avg(case when status = 'running' and total > 0 then least(1.0::double, greatest(0.0::double, page / total)) end), 9) as progress, bool_and(status <> 'queued') as all_started, 'processing' as state from j
+, s as (select name, count(*) as all_jobs, count(*) filter (status <> 'queued') as completed, count(*) filter (status = 'done') as done, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'running') as running,
+       round(avg(case when status = 'running' and total > 0 then least(1.0::double, greatest(0.0::double, page / total)) end), 9) as progress, bool_and(status <> 'queued') as all_started from j group by name)
+select *, case when running > 0 then 'processing' when all_started then 'done' else 'loaded' end as state from s
 """
 )
 def job_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.status_summary(_jobs(spark, sf_dir)).withColumn("progress", F.round("progress", 9))
+    """The jobs of one file name are a batch."""
+    return jobs.status_summary(_jobs(spark, sf_dir), ["name"]).withColumn("progress", F.round("progress", 9))
 
 
-@query(_JOBS + "select 'large_file' as warning, min_by(name, seq) filter (page_count > 100) as name, count(*) as all_jobs from j")
+@query(
+    _JOBS
+    + """
+, b as (select *, page_count // 7 as batch from j),
+w as (select batch, count(*) as all_jobs, count(*) filter (page_count > 100) as long, min_by(name, seq) filter (page_count > 100) as first_long from b group by batch)
+select batch, case when all_jobs > 10 then 'large_batch' when long > 0 then 'large_file' end as warning, case when all_jobs <= 10 and long > 0 then first_long end as name, all_jobs from w
+"""
+)
 def batch_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _jobs(spark, sf_dir)
-    return jobs.batch_warning(rows, many=1 << 62)
+    """Jobs of about as many pages are a batch."""
+    return jobs.batch_warning(_jobs(spark, sf_dir).withColumn("batch", F.floor(F.col("page_count") / 7)), by=["batch"])
 
 
 @query(
@@ -436,30 +553,42 @@ def error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", jobs.error_text(kind, message).alias("error_text"))
 
 
+#: A number from a text's digest, for sums that tell contents apart.
+_DIGEST = "('0x' || substr(md5(content), 1, 8))::bigint"
+
+
 @query(
-    """
-select format, status, error_type, count(*) as n from (
-  select case when doc_id % 11 = 10 then 'docx' else 'text' end as format, case when doc_id % 11 = 10 then 'failed' else 'done' end as status, case when doc_id % 11 = 10 then 'unsupported' end as error_type from documents
-  union all select 'html', 'done', null from pages
-  union all select 'json', case when event_id % 7 = 6 then 'failed' else 'done' end, case when event_id % 7 = 6 then 'corrupt' end from events
-  union all select 'csv', 'done', null from customer group by c_nationkey) group by format, status, error_type
+    _WRITTEN_HTML
+    + rf""",
+h as (select doc_id, string_agg(case when type = 'raw' then raw else case type when 'heading' then repeat('#', level) || ' ' when 'listItem' then '- ' else '' end
+             || case when regexp_matches(text, '^([#>*+-]|[0-9]+\.)') then '\' else '' end || replace(text, '`', '\`') end || chr(10), chr(10) order by block_no) as content from o group by doc_id),
+t as (select doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) as x from (select doc_id, regexp_replace(text, '?
+\s*?
+', chr(1)) as text from documents)),
+c as (select c_nationkey, string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' |', chr(10) order by c_custkey) as rows from customer group by c_nationkey),
+all_jobs as (
+  select case when doc_id % 11 = 10 then 'docx' when doc_id % 11 = 9 then 'text' else 'html' end as format, doc_id % 11 = 10 or doc_id % 11 = 9 as failed, 'unsupported' as error, h.content from documents left join h using (doc_id)
+  union all select 'json', event_id % 7 = 6, 'corrupt', '```json' || chr(10) || '{{' || chr(10) || '  ' || props[2:-2] || chr(10) || '}}' || chr(10) || '```' || chr(10) from events
+  union all select 'csv', false, null, '| c_custkey | c_name | c_mktsegment |' || chr(10) || '| --- | --- | --- |' || chr(10) || rows || chr(10) from c)
+select format, case when failed then 'failed' else 'done' end as status, case when failed then error end as error_type, count(*) as n, sum(case when not failed then {_DIGEST} end)::bigint as contents
+from all_jobs group by 1, 2, 3
 """
 )
 def convert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs_of = _mixed_jobs(spark, sf_dir)
-    return jobs_of.groupBy("format", "status", "error_type").agg(F.count("*").alias("n"))
+    """Numbers of jobs, and the sum of their contents' digests. Documents are web pages, or of a format that is not supported, or have no bytes."""
+    digest = F.conv(F.substring(F.md5("content"), 1, 8), 16, 10).cast("long")
+    return _mixed_jobs(spark, sf_dir).groupBy("format", "status", "error_type").agg(F.count("*").alias("n"), F.sum(digest).alias("contents"))
 
 
 def _mixed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversion of all documents, pages and events, and a CSV file for each nation."""
-    docs = table(spark, sf_dir, "documents")
-    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 11 == 10, ".docx").otherwise(".txt"))
-    rows = docs.select((F.col("doc_id") * 4).alias("doc_id"), name.alias("name"), F.col("text").cast("binary").alias("content"))
-    pages = table(spark, sf_dir, "pages").select((F.col("page_id") * 4 + 1).alias("doc_id"), F.lit("page.html").alias("name"), F.col("html").cast("binary").alias("content"))
+    """Conversion of all documents and events, and a CSV file for each nation."""
+    by = F.col("doc_id") % 11
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(by == 10, ".docx").when(by == 9, ".txt").otherwise(".html"))
+    rows = _written_html(spark, sf_dir).select((F.col("doc_id") * 4).alias("doc_id"), name.alias("name"), F.when(by == 10, F.lit(b"PK\x03\x04")).when(by != 9, F.col("text").cast("binary")).alias("content"))
     bad = F.when(F.col("event_id") % 7 == 6, F.substring("props", 1, 4)).otherwise(F.col("props"))
     events = table(spark, sf_dir, "events").select((F.col("event_id") * 4 + 2).alias("doc_id"), F.lit("event.json").alias("name"), bad.cast("binary").alias("content"))
     csv = _customer_csv(spark, sf_dir).select((F.col("doc_id") * 4 + 3).alias("doc_id"), F.lit("t.csv").alias("name"), F.col("text").cast("binary").alias("content"))
-    inputs = rows.unionByName(pages).unionByName(events).unionByName(csv)
+    inputs = rows.unionByName(events).unionByName(csv)
     return convert(inputs.withColumn("format", detect.detect_format(F.col("name"), F.col("content"))))
 
 
@@ -516,13 +645,8 @@ select source, n_chars as p95, round(m, 6) as mean from r where k = least(floor(
 """
 )
 def p95_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By counts of equal values, so that a large source is not gathered in one place."""
     docs = table(spark, sf_dir, "documents")
-    counts = docs.groupBy("source", "n_chars").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("source")
-    ranked = counts.withColumn("upto", F.sum("n").over(w.orderBy("n_chars"))).withColumn("all", F.sum("n").over(w))
-    at = F.least(F.floor(F.col("all") * 0.95), F.col("all") - 1)
-    p95 = ranked.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).select("source", F.col("n_chars").alias("p95"))
+    p95 = evaluate.nearest_rank(docs, ["source"], "n_chars").withColumnRenamed("n_chars", "p95")
     return p95.join(docs.groupBy("source").agg(F.round(F.avg("n_chars"), 6).alias("mean")), "source")
 
 

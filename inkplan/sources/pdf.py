@@ -1,16 +1,14 @@
-"""A reader of simple PDF files on the standard library, and a writer of such files for tests and generators.
+"""PDF files as tables of text spans, and a writer of PDF files for tests and generators.
 
-It follows cross references (tables, or else a scan for objects), the page tree, Flate streams and literal or hex
-strings shown by Tj, TJ, ' and ". Compressed object streams, encryption and fonts' own encodings are not read; files
-that need them fail, and another function of the same kind can take this one's place.
+The reader is one of its own (see functions/pdf_objects.py and pdf_text.py); another function from a file's bytes to the
+spans of its pages can take its place.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -18,123 +16,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import Unconvertible
+from ..functions.pdf_objects import Document
+from ..functions.pdf_text import Span, page_spans
 
 SPANS = "doc_id long, page int, seq int, text string, x_left double, x_right double, y_bottom double, y_top double, font_size double"
-PAGES = "doc_id long, page int, char_count int, line_heights array<double>"
-#: Height of a glyph's box and mean width of a glyph, as parts of the font size (Helvetica).
-HEIGHT = 0.945
-WIDTH = 0.5
-_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
-_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+\d?", re.S)
-_ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)", re.S)
-_PLAIN = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-@dataclass
-class Span:
-    text: str
-    x: float
-    y: float
-    size: float
-
-
-def _string(token: bytes) -> str:
-    if token.startswith(b"<"):
-        digits = re.sub(rb"\s", b"", token[1:-1])
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-        return raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("latin-1")
-
-    def plain(m: re.Match) -> bytes:
-        c = m[1]
-        return bytes([int(c, 8) & 255]) if c.isdigit() else _PLAIN.get(c, b"" if c.endswith(b"\n") else c)
-
-    return _ESCAPE.sub(plain, token[1:-1]).decode("latin-1")
-
-
-def _stream(body: bytes) -> bytes:
-    m = re.search(rb"stream\r?\n", body)
-    if not m:
-        return b""
-    data = body[m.end() : body.rindex(b"endstream")]
-    return zlib.decompressobj().decompress(data) if b"/FlateDecode" in body[: m.start()] else data
-
-
-def _show(content: bytes) -> Iterator[Span]:
-    size = x = y = line_x = line_y = leading = 0.0
-    args: list = []
-    array: list | None = None
-
-    def shown(texts: list) -> Iterator[Span]:
-        nonlocal x
-        text = "".join(t for t in texts if isinstance(t, str))
-        if text:
-            yield Span(text, x, y, size)
-        x += WIDTH * size * len(text) - sum(t for t in texts if isinstance(t, float)) * size / 1000
-
-    for m in _TOKEN.finditer(content):
-        t = m[0]
-        into = args if array is None else array
-        if t[:1] in b"(<":
-            into.append(_string(t))
-        elif t == b"[":
-            array = []
-        elif t == b"]":
-            args.append(array)
-            array = None
-        elif t[:1] == b"/":
-            args.append(t)
-        elif re.fullmatch(rb"[-+]?\d*\.?\d+", t):
-            into.append(float(t))
-        else:
-            n = [a for a in args if isinstance(a, float)]
-            if t == b"BT":
-                x = y = line_x = line_y = 0.0
-            elif t == b"Tf" and n:
-                size = n[-1]
-            elif t == b"TL" and n:
-                leading = n[-1]
-            elif t == b"Tm" and len(n) >= 6:
-                x, y = line_x, line_y = n[4], n[5]
-            elif t in (b"Td", b"TD") and len(n) >= 2:
-                leading = -n[1] if t == b"TD" else leading
-                x, y = line_x, line_y = line_x + n[0], line_y + n[1]
-            elif t in (b"T*", b"'", b'"'):
-                x, y = line_x, line_y = line_x, line_y - leading
-            if t in (b"Tj", b"'", b'"', b"TJ") and args:
-                yield from shown(args[-1] if isinstance(args[-1], list) else [args[-1]])
-            args = []
+#: What a damaged file makes of a parser.
+_DAMAGE = (zlib.error, ValueError, KeyError, IndexError, TypeError, AttributeError, OverflowError)
+
+
+def page_count(data: bytes) -> int:
+    """The number of pages, without reading any."""
+    try:
+        doc = Document(data)
+        tree = doc.resolve(doc.resolve(doc.trailer.get("Root")).get("Pages"))
+        count = doc.resolve(tree.get("Count"))
+        return count if isinstance(count, int) and count > 0 else len(doc.pages())
+    except _DAMAGE as e:
+        raise Unconvertible("corrupt", "The PDF is damaged.") from e
 
 
 def read_pages(data: bytes) -> list[list[Span] | None]:
     """The spans of each page, in the order in which they are drawn; None for a page that can't be read."""
-    if not data.startswith(b"%PDF"):
-        raise Unconvertible("corrupt", "Not a PDF file.")
-    if b"/Encrypt" in data:
-        raise Unconvertible("encrypted", "The PDF is protected.")
-    objects = {int(m[1]): m[3] for m in _OBJECT.finditer(data)}
-    roots = [b for b in objects.values() if re.search(rb"/Type\s*/Catalog\b", b)]
-    if not roots:
-        raise Unconvertible("corrupt", "The PDF has no catalog.")
-
-    def refs(body: bytes, key: bytes) -> list[int]:
-        m = re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-        return [int(r) for r in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if m else []
-
+    try:
+        doc = Document(data)
+        found = doc.pages()
+    except _DAMAGE as e:
+        raise Unconvertible("corrupt", "The PDF is damaged.") from e
     pages: list[list[Span] | None] = []
-    todo, seen = refs(roots[-1], b"Pages"), set()
-    while todo:
-        k = todo.pop()
-        if k in seen or k not in objects:
-            continue
-        seen.add(k)
-        kids = refs(objects[k], b"Kids")
-        if kids:
-            todo += reversed(kids)
-        elif re.search(rb"/Type\s*/Page\b", objects[k]):
-            try:
-                pages.append(list(_show(b"\n".join(_stream(objects[c]) for c in refs(objects[k], b"Contents") if c in objects))))
-            except (zlib.error, ValueError):
-                pages.append(None)
+    for page in found:
+        try:
+            pages.append(page_spans(doc, page))
+        except _DAMAGE:
+            pages.append(None)
     if not pages:
         raise Unconvertible("corrupt", "The PDF has no pages.")
     return pages
@@ -143,15 +56,49 @@ def read_pages(data: bytes) -> list[list[Span] | None]:
 Reader = Callable[[bytes], list[list[Span] | None]]
 
 
+def probe(inputs: DataFrame) -> DataFrame:
+    """Of ``inputs(doc_id, content)``: doc_id, page_count, error_type, error_message; no page is read. Null content is corrupt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int | None, str | None, str | None]] = []
+            for content in batch.column(1).to_pylist():
+                try:
+                    out.append((page_count(content or b""), None, None))
+                except Unconvertible as e:
+                    out.append((None, e.kind, str(e)))
+            columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "page_count", "error_type", "error_message"])
+
+    return inputs.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, "doc_id long, page_count int, error_type string, error_message string")
+
+
+def line_heights(spans: list[Span]) -> list[float]:
+    """The heights of the boxes of lines: spans that are drawn one after the other on one base line."""
+    out: list[float] = []
+    at: Span | None = None
+    low = high = 0.0
+    for s in spans:
+        _, _, bottom, top = s.box()
+        if at is not None and abs(s.y - at.y) < 0.3 * max(s.size, at.size):
+            low, high = min(low, bottom), max(high, top)
+        else:
+            if at is not None:
+                out.append(high - low)
+            low, high = bottom, top
+        at = s
+    return [h for h in ([*out, high - low] if at is not None else []) if h > 0]
+
+
 def scan_spans(inputs: DataFrame, reader: Reader = read_pages, keep: StorageLevel | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of ``inputs(doc_id, content)``: spans, light_pages, and outcomes (doc_id, page_count, failed_pages, error_type,
     error_message). Failed pages count from 1 and have neither spans nor text.
 
     With ``keep`` the rows that all three come from are cached.
     """
-    schema = "doc_id long, page int, seq int, text string, x_left double, x_right double, y_bottom double, y_top double, font_size double, page_count int, failed_pages array<int>, error_type string, error_message string"
+    schema = f"{SPANS}, char_count int, line_heights array<double>, page_count int, failed_pages array<int>, error_type string, error_message string"
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5, pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5, pa.int32(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,44 +107,98 @@ def scan_spans(inputs: DataFrame, reader: Reader = read_pages, keep: StorageLeve
                 try:
                     pages = reader(content or b"")
                     failed = [p + 1 for p, spans in enumerate(pages) if spans is None]
-                    out = [(doc_id, None, None, *nothing, len(pages), failed, None, None)]
+                    out = [(doc_id, None, None, *nothing, None, None, len(pages), failed, None, None)]
                     for p, spans in enumerate(pages):
-                        out.append((doc_id, p, None, *nothing, None, None, None, None))
-                        out += [
-                            (doc_id, p, k, s.text, s.x, s.x + WIDTH * s.size * len(s.text), s.y, s.y + HEIGHT * s.size, HEIGHT * s.size, None, None, None, None)
-                            for k, s in enumerate(spans or []) if s.text not in ("\n", "\r\n")
-                        ]
+                        own = [(s, *s.box()) for s in spans or [] if s.text not in ("\n", "\r\n")]
+                        heights = line_heights([s for s, *_ in own])
+                        out.append((doc_id, p, None, *nothing, sum(len(s.text) for s in spans or []), heights, None, None, None, None))
+                        out += [(doc_id, p, k, s.text, left, right, bottom, top, top - bottom, *(None,) * 6) for k, (s, left, right, bottom, top) in enumerate(own)]
                 except Unconvertible as e:
-                    out = [(doc_id, None, None, *nothing, 0, [], e.kind, str(e))]
+                    out = [(doc_id, None, None, *nothing, None, None, 0, [], e.kind, str(e))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     rows = inputs.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, schema)
     if keep is not None:
         rows = rows.persist(keep)
     spans = rows.where("seq is not null").select(*[c.split()[0] for c in SPANS.split(", ")])
-    heights = F.collect_list(F.when(F.col("font_size") > 0, F.col("font_size")))
-    pages = rows.where("page is not null").groupBy("doc_id", "page").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("int").alias("char_count"), heights.alias("line_heights"))
+    pages = rows.where("page is not null and seq is null").select("doc_id", "page", "char_count", "line_heights")
     return spans, pages, rows.where("page_count is not null").select("doc_id", "page_count", "failed_pages", "error_type", "error_message")
 
 
-def write_pdf(pages: list[list[tuple[str, float, float, float]]], compress: bool = False) -> bytes:
-    """A PDF of pages of (text, font size, x, y)."""
+def _number(v: float) -> bytes:
+    return f"{v:.6f}".rstrip("0").rstrip(".").encode()
+
+
+def write_pdf(
+    pages: list[list[tuple[str, float, float, float]]], compress: bool = False, unicode: bool = False, object_streams: bool = False,
+    metrics: tuple[int, int] | None = None, broken: Collection[int] = (),
+) -> bytes:
+    """A PDF of pages of (text, font size, x, y).
+
+    With unicode, texts are codes of a font that has a map to Unicode, else Latin-1; with object_streams, objects and
+    cross references are in compressed streams; metrics: the font's ascent and descent; broken: pages (from 0) whose
+    content cannot be unpacked.
+    """
     n = len(pages)
-    font = 3 + 2 * n
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % (3 + k) for k in range(n)), n)]
-    objects += [b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents %d 0 R /Resources << /Font << /F1 %d 0 R >> >> >>" % (3 + n + k, font) for k in range(n)]
-    for page in pages:
+    font, contents = 3 + n, 6 + n
+    objects: dict[int, bytes] = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % (3 + k) for k in range(n)), n)}
+    streams: dict[int, bytes] = {}
+
+    def stream(number: int, data: bytes, entries: bytes = b"", pack: bool = compress) -> None:
+        data, how = (zlib.compress(data), b" /Filter /FlateDecode") if pack else (data, b"")
+        streams[number] = b"<< /Length %d%s%s >>\nstream\n%s\nendstream" % (len(data), how, entries, data)
+
+    used: set[int] = set()
+    for k, page in enumerate(pages):
+        objects[3 + k] = b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents %d 0 R /Resources << /Font << /F1 %d 0 R >> >> >>" % (contents + k, font)
         ops = []
         for text, size, x, y in page:
-            literal = re.sub(r"([\\()])", r"\\\1", text).encode("latin-1", "replace")
-            ops.append(b"BT /F1 %g Tf 1 0 0 1 %g %g Tm (%s) Tj ET" % (size, x, y, literal))
-        data = b"\n".join(ops)
-        data, how = (zlib.compress(data), b" /Filter /FlateDecode") if compress else (data, b"")
-        objects.append(b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(data), how, data))
-    objects.append(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>")
-    out, places = b"%PDF-1.4\n", []
-    for k, body in enumerate(objects, 1):
-        places.append(len(out))
-        out += b"%d 0 obj\n%s\nendobj\n" % (k, body)
-    table = b"".join(b"%010d 00000 n \n" % p for p in places)
-    return out + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, table, len(objects) + 1, len(out))
+            if unicode:
+                raw = text.encode("utf-16-be", "surrogatepass")
+                used.update(int.from_bytes(raw[i : i + 2]) for i in range(0, len(raw), 2))
+                shown = b"<%s>" % raw.hex().encode()
+            else:
+                shown = b"(%s)" % re.sub(r"([\\()])", r"\\\1", text).replace("\r", "\\r").encode("cp1252", "replace")
+            ops.append(b"BT /F1 %s Tf 1 0 0 1 %s %s Tm %s Tj ET" % (_number(size), _number(x), _number(y), shown))
+        if k in broken:
+            streams[contents + k] = b"<< /Length 4 /Filter /FlateDecode >>\nstream\nxxxx\nendstream"
+        else:
+            stream(contents + k, b"\n".join(ops))
+    described = b" /FontDescriptor %d 0 R" % (font + 1) if metrics else b""
+    if metrics:
+        objects[font + 1] = b"<< /Type /FontDescriptor /FontName /Helvetica /Flags 32 /Ascent %d /Descent %d >>" % metrics
+    if unicode:
+        lines = [b"<%04x> <%04x>" % (u, u) for u in sorted(used)]
+        blocks = [b"%d beginbfchar\n%s\nendbfchar" % (len(b), b"\n".join(b)) for b in (lines[k : k + 100] for k in range(0, len(lines), 100))]
+        stream(font + 2, b"/CMapName /Own def\n1 begincodespacerange\n<0000> <ffff>\nendcodespacerange\n%s\nendcmap" % b"\n".join(blocks))
+        own = b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Helvetica /DW 500%s >>" % described
+        objects[font] = b"<< /Type /Font /Subtype /Type0 /BaseFont /Helvetica /Encoding /Identity-H /DescendantFonts [%s] /ToUnicode %d 0 R >>" % (own, font + 2)
+    else:
+        objects[font] = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding%s >>" % described
+    out, places = b"%PDF-1.5\n", {}
+    if object_streams:
+        holder, table = contents + n, contents + n + 1
+        heads, bodies, at = [], [], 0
+        for number, body in objects.items():
+            heads.append(b"%d %d" % (number, at))
+            bodies.append(body + b"\n")
+            at += len(body) + 1
+        head = b" ".join(heads) + b"\n"
+        stream(holder, head + b"".join(bodies), b" /Type /ObjStm /N %d /First %d" % (len(objects), len(head)), True)
+        for number, body in streams.items():
+            places[number] = len(out)
+            out += b"%d 0 obj\n%s\nendobj\n" % (number, body)
+        places[table] = len(out)
+        inner = {number: i for i, number in enumerate(objects)}
+        rows = []
+        for k in range(table + 1):
+            kind, x, y = (2, holder, inner[k]) if k in inner else (1, places[k], 0) if k in places else (0, 0, 0)
+            rows.append(bytes([kind]) + x.to_bytes(4) + y.to_bytes(2))
+        stream(table, b"".join(rows), b" /Type /XRef /Size %d /W [1 4 2] /Root 1 0 R" % (table + 1), True)
+        return out + b"%d 0 obj\n%s\nendobj\nstartxref\n%d\n%%%%EOF" % (table, streams[table], places[table])
+    for number, body in (objects | streams).items():
+        places[number] = len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (number, body)
+    size = contents + n
+    entries = b"".join(b"%010d 00000 n \n" % places[k] if k in places else b"0000000000 00000 f \n" for k in range(1, size))
+    return out + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (size, entries, size, len(out))
