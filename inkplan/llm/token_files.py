@@ -159,7 +159,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # many rows without an id, or with one id, are split by their texts, and equal ones by where they were read
+    keyed = rows.withColumns({"__h": F.xxhash64("text"), "__k": F.monotonically_increasing_id()})
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("__h"), F.col("__k")]
+    ordered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     return written(ordered.mapInArrow(write, META), "token-files")
 
 

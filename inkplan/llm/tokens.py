@@ -28,8 +28,6 @@ def broadcast_tokenizer(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-#: Characters below this have simple rules for case and composition.
-_PLAIN = "\u0130"
 #: Characters below this have simple rules for case and composition.
 _PLAIN = "\u0130"
 #: Encodings that a worker process keeps from task to task, by the tokenizer's file.
