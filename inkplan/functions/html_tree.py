@@ -7,6 +7,7 @@ foreign content are ordinary elements here.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 # Element names by the rules of the HTML standard.
@@ -36,24 +37,56 @@ class Node:
         self.tag, self.attrs, self.parent = tag, attrs or {}, None
         self.children: list[Node | str] = []
 
+    def _place(self, child: Node) -> int:
+        return next(i for i in range(len(self.children) - 1, -1, -1) if self.children[i] is child)  # mostly near the end
+
     def add(self, child: Node | str, before: Node | None = None) -> None:
-        at = len(self.children) if before is None else next(i for i, c in enumerate(self.children) if c is before)
+        if not isinstance(child, str):
+            child.leave()
+        at = len(self.children) if before is None else self._place(before)
         if isinstance(child, str):
             if at and isinstance(self.children[at - 1], str):
                 self.children[at - 1] += child
                 return
         else:
-            child.leave()
-            at = len(self.children) if before is None else next(i for i, c in enumerate(self.children) if c is before)
             child.parent = self
         self.children.insert(at, child)
 
     def leave(self) -> None:
         if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
+            del self.parent.children[self.parent._place(self)]
             self.parent = None
 
 
+class _Stack(list):
+    """Open elements, and how many there are of each name."""
+
+    def __init__(self, nodes: list[Node]):
+        super().__init__(nodes)
+        self.of = Counter(n.tag for n in nodes)
+
+    def append(self, node: Node) -> None:
+        self.of[node.tag] += 1
+        super().append(node)
+
+    def insert(self, at: int, node: Node) -> None:
+        self.of[node.tag] += 1
+        super().insert(at, node)
+
+    def pop(self, at: int = -1) -> Node:
+        node = super().pop(at)
+        self.of[node.tag] -= 1
+        return node
+
+    def remove(self, node: Node) -> None:
+        self.pop(self.index(node))
+
+    def cut(self, at: int) -> None:
+        """Close all from there on."""
+        while len(self) > at:
+            self.pop()
+
+
 class _Builder(HTMLParser):
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
@@ -62,7 +95,7 @@ class _Builder(HTMLParser):
         self.html, self.head, self.body = Node("html"), Node("head"), Node("body")
         self.html.add(self.head)
         self.html.add(self.body)
-        self.stack = [self.html, self.body]
+        self.stack = _Stack([self.html, self.body])
         self.active: list[Node | None] = []  # None: a marker
         self.in_body = False
         self.head_raw: str | None = None
@@ -74,11 +107,12 @@ class _Builder(HTMLParser):
         return self.stack[-1]
 
     def in_scope(self, tag: str, more: set[str] = frozenset()) -> bool:
-        for n in reversed(self.stack):
-            if n.tag == tag:
-                return True
-            if n.tag in SCOPE or n.tag in more:
-                return False
+        if self.stack.of[tag]:
+            for n in reversed(self.stack):
+                if n.tag == tag:
+                    return True
+                if n.tag in SCOPE or n.tag in more:
+                    return False
         return False
 
     def pop_to(self, tags: set[str]) -> None:
@@ -160,7 +194,7 @@ class _Builder(HTMLParser):
             place = self.stack.index(element)
             furthest = next((n for n in self.stack[place + 1 :] if n.tag in SPECIAL), None)
             if furthest is None:
-                del self.stack[place:]
+                self.stack.cut(place)
                 self.active.remove(element)
                 return
             above = self.stack[place - 1]
@@ -202,7 +236,9 @@ class _Builder(HTMLParser):
             self.stack.insert(self.stack.index(furthest) + 1, copy)
 
     def other_end(self, tag: str) -> None:
-        for n in reversed(self.stack[2:]):
+        for n in reversed(self.stack):
+            if n is self.body:
+                return
             if n.tag == tag:
                 self.imply(tag)
                 while self.stack.pop() is not n:
@@ -275,7 +311,7 @@ class _Builder(HTMLParser):
         self.insert(tag, attrs, push=tag not in VOID)
 
     def table_part(self, tag: str, attrs: dict[str, str]) -> None:
-        if not any(n.tag == "table" for n in self.stack):
+        if not self.stack.of["table"]:
             return
         if tag in ("td", "th"):
             want = {"tr"}
@@ -333,7 +369,7 @@ class _Builder(HTMLParser):
                 self.imply()
                 self.pop_to(HEADINGS)
         elif tag in TABLE_PARTS or tag == "table":
-            if any(n.tag == tag for n in self.stack) and (tag == "table" or self.in_table(tag)):
+            if self.stack.of[tag] and (tag == "table" or self.in_table(tag)):
                 while self.now.tag != tag:
                     if self.stack.pop().tag in ("td", "th", "caption"):
                         self.clear_to_marker()

@@ -118,6 +118,11 @@ def _integer(s: str) -> int | float:
     return n if -(1 << 63) <= n < 1 << 63 else float(s)
 
 
+_JSON_SPACE = re.compile(r"[ \t\n\r]*")
+_JSON_WORD = re.compile("true|false|null")
+_JSON_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+
+
 def _refuse(name: str) -> None:
     raise ValueError(f"unexpected {name}")
 
@@ -135,13 +140,99 @@ def _pretty(v: object, pad: str) -> str:
     return json.dumps(v)
 
 
+def _pretty_deep(v: object) -> str:
+    """As _pretty, for values of any depth."""
+    out: list[str] = []
+    todo: list[tuple[object, str, str, str]] = [(v, "", "", "")]  # value, its pad, and what stands before and after it
+    while todo:
+        v, pad, before, after = todo.pop()
+        if not isinstance(v, (list, dict)) or not v:
+            out.append(f"{before}{_pretty(v, pad)}{after}")
+            continue
+        opening, closing = "[]" if isinstance(v, list) else "{}"
+        deeper = f"{pad}  "
+        heads = [deeper] * len(v) if isinstance(v, list) else [f"{deeper}{_pretty(k, deeper)}: " for k in v]
+        ends = [",\n"] * (len(v) - 1) + [f"\n{pad}{closing}{after}"]
+        out.append(f"{before}{opening}\n")
+        todo += reversed([(x, deeper, head, end) for x, head, end in zip(v if isinstance(v, list) else v.values(), heads, ends, strict=True)])
+    return "".join(out)
+
+
+def _loads_deep(text: str) -> object:
+    """json.loads with this module's rules, for values of any depth: containers are kept on a stack."""
+    at = 0
+    stack: list[tuple[list | dict, str]] = []
+
+    def space(at: int) -> int:
+        return _JSON_SPACE.match(text, at).end()
+
+    def key(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError(f"a name in quotes is missing at {at}")
+        name, at = json.decoder.scanstring(text, at + 1, True)
+        at = space(at)
+        if text[at : at + 1] != ":":
+            raise ValueError(f"a colon is missing at {at}")
+        return name, space(at + 1)
+
+    name = ""
+    at = space(at)
+    while True:
+        c = text[at : at + 1]
+        if c in ("[", "{") and c:
+            inner: list | dict = [] if c == "[" else {}
+            at = space(at + 1)
+            if text[at : at + 1] != ("]" if c == "[" else "}"):
+                stack.append((inner, name))
+                if c == "{":
+                    name, at = key(at)
+                continue
+            value, at = inner, at + 1
+        elif c == '"':
+            value, at = json.decoder.scanstring(text, at + 1, True)
+        elif m := _JSON_WORD.match(text, at):
+            value, at = {"true": True, "false": False, "null": None}[m[0]], m.end()
+        elif m := _JSON_NUMBER.match(text, at):
+            value, at = float(m[0]) if m[1] or m[2] else _integer(m[0]), m.end()
+        else:
+            raise ValueError(f"a value is missing at {at}")
+        while True:  # a value is there: into its container, which may end with it
+            at = space(at)
+            if not stack:
+                if at < len(text):
+                    raise ValueError(f"more than one value at {at}")
+                return value
+            holder, outer = stack[-1]
+            if isinstance(holder, list):
+                holder.append(value)
+            else:
+                holder[name] = value
+            c = text[at : at + 1]
+            if c == ",":
+                at = space(at + 1)
+                if isinstance(holder, dict):
+                    name, at = key(at)
+                break
+            if c != ("]" if isinstance(holder, list) else "}"):
+                raise ValueError(f"a comma or an end is missing at {at}")
+            stack.pop()
+            value, name, at = holder, outer, at + 1
+
+
+def _pretty_json(text: str) -> str:
+    try:
+        return _pretty(json.loads(text, parse_int=_integer, parse_constant=_refuse), "")
+    except RecursionError:  # nested too deep for functions that call themselves
+        return _pretty_deep(_loads_deep(text))
+
+
 def json_blocks(text: str) -> tuple[list[Block], int]:
     text = text.strip(TRIM)
     if not text:
         raise Unconvertible("noText", "The JSON file is empty.")
     try:
-        pretty = _pretty(json.loads(text, parse_int=_integer, parse_constant=_refuse), "")
-    except (ValueError, RecursionError) as e:
+        pretty = _pretty_json(text)
+    except ValueError as e:
         raise Unconvertible("corrupt", f"Invalid JSON: {e}") from None
     return [_raw(f"```json\n{pretty}\n```")], 1
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from .html_tree import HEADINGS, Node, parse
 from .parse import Block, Unconvertible
@@ -14,41 +14,63 @@ NOT_OWN = set("p div section ul ol table pre blockquote".split())
 MARKS = {"strong": "**", "b": "**", "em": "_", "i": "_", "code": "`"}
 
 
+def _folded(node: Node, done: Callable[[list[str]], str], within: Callable[[Node, str], str], leaf: Callable[[Node], str | None]) -> str:
+    """A text from a node's descendants, however deep these are.
+
+    done: from the texts of a node's children its own; within: what of a child's text its parent takes; leaf: the text
+    of a child that is not looked into, else None.
+    """
+    open_: list[tuple[Node, Iterator, list[str]]] = [(node, iter(node.children), [])]
+    while True:
+        at, rest, parts = open_[-1]
+        for c in rest:
+            if isinstance(c, str):
+                parts.append(c)
+            elif (text := leaf(c)) is not None:
+                parts.append(text)
+            else:
+                open_.append((c, iter(c.children), []))
+                break
+        else:
+            open_.pop()
+            text = done(parts)
+            if not open_:
+                return text
+            open_[-1][2].append(within(at, text))
+
+
+def _marked(node: Node, text: str) -> str:
+    href, mark = node.attrs.get("href"), MARKS.get(node.tag, "")
+    if node.tag == "a" and href and text.strip(TRIM):
+        text = f"{text} ({href})"
+    return f"{mark}{text}{mark}"
+
+
 def inline(node: Node) -> str:
     """A node's text on one line, with marks for emphasis, code and links."""
-    out = []
-    for c in node.children:
-        if isinstance(c, str):
-            out.append(c)
-        elif c.tag == "br":
-            out.append(" ")
-        else:
-            text, href = inline(c), c.attrs.get("href")
-            if c.tag == "a" and href and text.strip(TRIM):
-                text = f"{text} ({href})"
-            mark = MARKS.get(c.tag, "")
-            out.append(f"{mark}{text}{mark}")
-    return PY_SPACES.sub(" ", "".join(out)).strip(TRIM)
+    return _folded(node, lambda parts: PY_SPACES.sub(" ", "".join(parts)).strip(TRIM), _marked, lambda c: " " if c.tag == "br" else None)
 
 
 def own_text(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else own_text(c) for c in node.children if isinstance(c, str) or c.tag not in NOT_OWN)
+    return _folded(node, "".join, lambda _, text: text, lambda c: "" if c.tag in NOT_OWN else None)
 
 
 def code_text(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else code_text(c) for c in node.children).strip(TRIM)
+    return _folded(node, lambda parts: "".join(parts).strip(TRIM), lambda _, text: text, lambda _: None)
 
 
 def all_text(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else all_text(c) + " " for c in node.children)
+    return _folded(node, "".join, lambda _, text: f"{text} ", lambda _: None)
 
 
 def descendants(node: Node, tags: set[str]) -> Iterator[Node]:
-    for c in node.children:
-        if isinstance(c, Node):
-            if c.tag in tags:
-                yield c
-            yield from descendants(c, tags)
+    """In the order of the document."""
+    todo = [c for c in reversed(node.children) if isinstance(c, Node)]
+    while todo:
+        c = todo.pop()
+        if c.tag in tags:
+            yield c
+        todo += [x for x in reversed(c.children) if isinstance(x, Node)]
 
 
 def table_markdown(table: Node) -> str:
@@ -60,10 +82,14 @@ def table_markdown(table: Node) -> str:
 
 
 def _visit(node: Node) -> Iterator[Block]:
-    for c in node.children:
-        if isinstance(c, str):
+    open_ = [iter(node.children)]
+    while open_:
+        c = next(open_[-1], None)
+        if c is None:
+            open_.pop()
+        elif isinstance(c, str):
             continue
-        if c.tag in HEADINGS:
+        elif c.tag in HEADINGS:
             yield "heading", int(c.tag[1]), [inline(c)], None
         elif c.tag == "p":
             yield "paragraph", 0, [inline(c)], None
@@ -78,20 +104,17 @@ def _visit(node: Node) -> Iterator[Block]:
         elif c.tag in ("pre", "code"):
             yield "raw", 0, None, f"```\n{code_text(c)}\n```"
         elif c.tag in CONTAINERS:
-            yield from _visit(c)
+            open_.append(iter(c.children))
         elif own := own_text(c).strip(TRIM):
             yield "paragraph", 0, [own], None
 
 
 def html_blocks(text: str) -> tuple[list[Block], int]:
-    try:
-        body = parse(text)
-        blocks = list(_visit(body))
-        if not blocks:
-            plain = all_text(body).strip(TRIM)
-            if not plain:
-                raise Unconvertible("noText", "No text could be extracted from the HTML document.")
-            blocks = [("paragraph", 0, [plain], None)]
-    except RecursionError:
-        raise Unconvertible("corrupt", "The HTML document is nested too deeply.") from None
+    body = parse(text)
+    blocks = list(_visit(body))
+    if not blocks:
+        plain = all_text(body).strip(TRIM)
+        if not plain:
+            raise Unconvertible("noText", "No text could be extracted from the HTML document.")
+        blocks = [("paragraph", 0, [plain], None)]
     return blocks, len(blocks)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from html.entities import name2codepoint
 from math import hypot
 
@@ -50,6 +52,9 @@ def glyph_text(name: str) -> str:
         return ""
 
 
+_HALVES = re.compile("[\ud800-\udfff]")
+
+
 @dataclass
 class Span:
     """A text, where its base line starts, and its font size; right, bottom and top of its box where they are known."""
@@ -105,6 +110,11 @@ class CMap:
             self.texts[int.from_bytes(code)] = glyph_text(text)
 
 
+@cache
+def _characters(codec: str) -> tuple[str, ...]:
+    return tuple(bytes([k]).decode(codec, "ignore") or chr(k) for k in range(256))
+
+
 class Font:
     def __init__(self, doc: Document, entries: dict):
         get = lambda d, k: doc.resolve(d.get(k)) if isinstance(d, dict) else None
@@ -112,6 +122,7 @@ class Font:
         self.to_unicode = CMap(doc.decoded(mapping)) if isinstance(mapping, Stream) else None
         self.wide = entries.get("Subtype") == "Type0"
         self.scale = 0.001
+        self._known: dict[int, tuple[str, float]] = {}
         own = entries
         self.widths: dict[int, float] = {}
         self.missing: float = WIDTH * 1000
@@ -129,7 +140,7 @@ class Font:
                     self.widths[first + k] = w
             base = encoding if isinstance(encoding, str) else get(encoding, "BaseEncoding") if isinstance(encoding, dict) else None
             codec = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
-            self.chars = [bytes([k]).decode(codec, "ignore") or chr(k) for k in range(256)]
+            self.chars = list(_characters(codec))
             at = 0
             for x in (get(encoding, "Differences") or []) if isinstance(encoding, dict) else []:
                 if isinstance(x, int):
@@ -160,19 +171,21 @@ class Font:
                     self.widths[code] = w[at + 2]
                 at += 3
 
-    def decode(self, raw: bytes) -> list[tuple[str, float, bool]]:
-        """Text, width (a part of the font size) and whether word spacing counts, for each code."""
-        size = 2 if self.wide else 1
-        if self.wide and self.to_unicode and self.to_unicode.lengths == {1}:
-            size = 1
-        out = []
-        for k in range(0, len(raw) - size + 1, size):
-            code = int.from_bytes(raw[k : k + size])
-            text = self.to_unicode.texts.get(code) if self.to_unicode else None
-            if text is None:
-                text = self.chars[code] if not self.wide else chr(code) if self.utf16 else ""
-            out.append((text, self.widths.get(code, self.missing) * self.scale, size == 1 and code == 32))
-        return out
+    def _one(self, code: int) -> tuple[str, float]:
+        text = self.to_unicode.texts.get(code) if self.to_unicode else None
+        if text is None:
+            text = self.chars[code] if not self.wide else chr(code) if self.utf16 else ""
+        return text, self.widths.get(code, self.missing) * self.scale
+
+    def decode(self, raw: bytes) -> tuple[str, float, int, int]:
+        """The text, its width (a part of the font size), the number of its codes, and that of those that word spacing counts for."""
+        wide = self.wide and not (self.to_unicode and self.to_unicode.lengths == {1})
+        codes = struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2]) if wide else raw
+        known = self._known
+        for code in set(codes).difference(known):
+            known[code] = self._one(code)
+        found = [known[c] for c in codes]
+        return "".join([t for t, _ in found]), sum([w for _, w in found]), len(codes), 0 if wide else raw.count(b" ")
 
 
 Matrix = tuple[float, float, float, float, float, float]
@@ -265,16 +278,16 @@ class Shower:
         way = 0.0
         for item in items:
             if isinstance(item, bytes):
-                for t, w, space in font.decode(item):
-                    text.append(t)
-                    way += (w * size + state["Tc"] + (state["Tw"] if space else 0.0)) * wide
+                t, w, codes, spaces = font.decode(item)
+                text.append(t)
+                way += (w * size + state["Tc"] * codes + state["Tw"] * spaces) * wide
             elif isinstance(item, (int, float)):
                 if -item / 1000 > WORD_GAP and text and not text[-1][-1:].isspace():
                     text.append(" ")
                 way -= item / 1000 * size * wide
         full = times(tm, state["ctm"])
         shown = "".join(text)
-        if any("\ud800" <= t <= "\udfff" for t in text):  # halves of characters that two codes stand for
+        if _HALVES.search(shown):  # halves of characters that two codes stand for
             shown = shown.encode("utf-16-be", "surrogatepass").decode("utf-16-be", "replace")
         if shown:
             a, b, c, d, e, f = full

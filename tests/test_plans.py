@@ -30,14 +30,14 @@ def test_structure_counts_shuffle_once(spark, sf):
     assert shuffles(queries.md_stats(spark, sf)) == 1
 
 
-def test_layout_shuffles_by_page_once(spark, sf):
+def test_layout_shuffles_spans_once_and_lines_once(spark, sf):
     spans = queries._spans(spark, sf)
     stats = spark.createDataFrame([(0, 12.0)], "doc_id long, body_font_size double")
     lines = layout.group_lines(spans)
     assert shuffles(lines) == 1
     marked = layout.paragraph_numbers(lines.withColumn("is_heading", F.col("font_size") > 14))
-    assert shuffles(layout.classify(marked)) == 1
-    assert "Python" not in plan(layout.classify(layout.paragraph_numbers(layout.mark_headings(lines, stats))))
+    assert shuffles(layout.classify(marked)) == 2
+    assert plan(layout.classify(layout.paragraph_numbers(layout.mark_headings(lines, stats)))).count("MapInArrow") == plan(lines).count("MapInArrow")
 
 
 def test_histogram_is_partly_counted_before_its_shuffle(spark, sf):
