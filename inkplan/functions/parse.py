@@ -15,6 +15,12 @@ from .text import TRIM
 Block = tuple[str, int, list[str] | None, str | None]
 
 
+#: What users read of files that can't be converted.
+EMPTY = {"csv": "The CSV file is empty.", "json": "The JSON file is empty.", "xml": "The XML file is empty.", "html": "No text could be extracted from the HTML document."}
+INVALID_JSON = "Invalid JSON"
+INVALID_XML = "Invalid XML"
+
+
 class Unconvertible(Exception):
     """kind: corrupt, encrypted, noText or unsupported."""
 
@@ -82,7 +88,7 @@ def csv_rows(text: str) -> list[list[str]]:
 def csv_blocks(text: str) -> tuple[list[Block], int]:
     rows = csv_rows(text)
     if not rows:
-        raise Unconvertible("noText", "The CSV file is empty.")
+        raise Unconvertible("noText", EMPTY["csv"])
     line = lambda cells: f"| {' | '.join(cells)} |"
     cells = [line([c.replace("|", "\\|").replace("\n", " ") for c in r]) for r in rows]
     cells.insert(1, line(["---"] * len(rows[0])))
@@ -97,7 +103,7 @@ _LONE = re.compile("[\ud800-\udfff]")
 def _number(x: float) -> str:
     """The shortest digits that give x, with a fraction or, from 1e21 and below 1e-6, an exponent."""
     if not math.isfinite(x):
-        raise Unconvertible("corrupt", "Invalid JSON: a number is out of range")
+        raise Unconvertible("corrupt", f"{INVALID_JSON}: a number is out of range")
     if x == 0 or 1e-6 <= abs(x) < 1e21:
         s = repr(x)
         if "e" in s:
@@ -229,11 +235,11 @@ def _pretty_json(text: str) -> str:
 def json_blocks(text: str) -> tuple[list[Block], int]:
     text = text.strip(TRIM)
     if not text:
-        raise Unconvertible("noText", "The JSON file is empty.")
+        raise Unconvertible("noText", EMPTY["json"])
     try:
         pretty = _pretty_json(text)
     except ValueError as e:
-        raise Unconvertible("corrupt", f"Invalid JSON: {e}") from None
+        raise Unconvertible("corrupt", f"{INVALID_JSON}: {e}") from None
     return [_raw(f"```json\n{pretty}\n```")], 1
 
 
@@ -269,7 +275,7 @@ def xml_root(text: str) -> _Element:
             stack[-1].children.append(None)
 
     def entity(*_: object) -> None:
-        raise Unconvertible("corrupt", "Invalid XML: entities are not expanded")
+        raise Unconvertible("corrupt", f"{INVALID_XML}: entities are not expanded")
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, lambda _: stack.pop(), data
     parser.CommentHandler = lambda _: stack[-1].children.append(None)
@@ -279,7 +285,7 @@ def xml_root(text: str) -> _Element:
     try:
         parser.Parse(text.encode("utf-8", "surrogatepass"), True)
     except (expat.ExpatError, UnicodeError) as e:
-        raise Unconvertible("corrupt", f"Invalid XML: {e}") from None
+        raise Unconvertible("corrupt", f"{INVALID_XML}: {e}") from None
     return next(c for c in top.children if isinstance(c, _Element))
 
 
@@ -311,6 +317,6 @@ def xml_pretty(root: _Element) -> str:
 def xml_blocks(text: str) -> tuple[list[Block], int]:
     text = text.strip(TRIM)
     if not text:
-        raise Unconvertible("noText", "The XML file is empty.")
+        raise Unconvertible("noText", EMPTY["xml"])
     body = xml_pretty(xml_root(text)).rstrip(TRIM)
     return [_raw(f'```xml\n<?xml version="1.0" encoding="UTF-8"?>\n{body}\n```')], 1

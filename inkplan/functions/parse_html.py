@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from .html_tree import HEADINGS, Node, parse
-from .parse import Block, Unconvertible
+from .parse import EMPTY, Block, Unconvertible
 from .text import PY_SPACES, TRIM
 
 # What elements stand for.
@@ -115,6 +115,6 @@ def html_blocks(text: str) -> tuple[list[Block], int]:
     if not blocks:
         plain = all_text(body).strip(TRIM)
         if not plain:
-            raise Unconvertible("noText", "No text could be extracted from the HTML document.")
+            raise Unconvertible("noText", EMPTY["html"])
         blocks = [("paragraph", 0, [plain], None)]
     return blocks, len(blocks)

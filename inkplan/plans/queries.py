@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import detect, evaluate, extract, extract_text, jobs, layout, preview, render
 from ..sources import files, pdf, synth
-from .convert import convert, spans_markdown, text_markdown
+from .convert import convert, convert_pdf, text_markdown
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -562,8 +562,10 @@ _DIGEST = "('0x' || substr(md5(content), 1, 8))::bigint"
     + rf""",
 h as (select doc_id, string_agg(case when type = 'raw' then raw else case type when 'heading' then repeat('#', level) || ' ' when 'listItem' then '- ' else '' end
              || case when regexp_matches(text, '^([#>*+-]|[0-9]+\.)') then '\' else '' end || replace(text, '`', '\`') end || chr(10), chr(10) order by block_no) as content from o group by doc_id),
-t as (select doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) as x from (select doc_id, regexp_replace(text, '?
-\s*?
+t as (select doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) as x from (select doc_id, regexp_replace(text, '
+?
+\s*
+?
 ', chr(1)) as text from documents)),
 c as (select c_nationkey, string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' |', chr(10) order by c_custkey) as rows from customer group by c_nationkey),
 all_jobs as (
@@ -652,18 +654,18 @@ def p95_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select 'book_single.md' as name, 1.0::double as paragraph_f1, 1.0::double as heading_accuracy, 1.0::double as list_recall, 0::bigint as noise_blocks, true as passed")
 def book_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generated book of sixty pages, set, converted and held against the text it should become."""
-    return _scores("book_single.md", synth.book_items(spark, 60, 15), synth.book_golden(spark, 60, 15))
+    """A generated book of sixty pages, as a PDF file, converted and held against the text it should become."""
+    return _scores(spark, "book_single", synth.book_items(spark, 60, 15), synth.book_golden(spark, 60, 15))
 
 
-def _scores(name: str, items: DataFrame, golden: DataFrame) -> DataFrame:
-    """One generated document, set, converted and held against its golden text."""
-    spans = synth.item_spans(items)
-    output = spans_markdown(spans, synth.light_pages(spans)).select(F.lit(name).alias("name"), "markdown")
+def _scores(spark: SparkSession, name: str, items: DataFrame, golden: DataFrame) -> DataFrame:
+    """One generated document, written as a PDF file, converted and held against its golden text."""
+    inputs = spark.createDataFrame([(0, f"{name}.pdf", bytearray(synth.pdf_of_items(items)), "pdf")], "doc_id long, name string, content binary, format string")
+    output = convert_pdf(inputs).select(tx.output_name(F.col("name")).alias("name"), "markdown")
     return evaluate.evaluate(output, golden)
 
 
 @query("select 'with_tables.md' as name, round(2.0::double / 7, 9) as paragraph_f1, 1.0::double as heading_accuracy, 1.0::double as list_recall, 1::bigint as noise_blocks, false as passed")
 def table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A generated page whose table rows are joined into one paragraph."""
-    return _scores("with_tables.md", synth.report_items(spark), synth.report_golden(spark)).withColumn("paragraph_f1", F.round("paragraph_f1", 9))
+    return _scores(spark, "with_tables", synth.report_items(spark), synth.report_golden(spark)).withColumn("paragraph_f1", F.round("paragraph_f1", 9))

@@ -6,19 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The texts of the generated book, with the page's number for %s, and of the report, as published.
+_CHAPTER = "Chapter %s"
+_FIRST = "Page %s paragraph one with some body text that fills a line."
+_FIRST_GOES_ON = "It continues onto a second line of the paragraph."
+_SECOND = "A second paragraph follows after a small gap."
+_ITEMS = ["Bullet number one on page %s", "Bullet number two on page %s"]
+_TITLE = "Inventory Report"
+_REPORT = [("Name", "Qty", "Price"), ("Apples", "10", "2.50"), ("Bananas", "20", "1.75"), ("Cherries", "5", "8.00")]
+_CLOSING = "End of table with plain text after."
+
+
 def book_items(spark: SparkSession, pages: int, chapter_every: int = 20) -> DataFrame:
     """page, seq, text, font_size, x, y of a book: two body lines, a second paragraph and two list items a page, and a heading every so many pages."""
-    i = F.col("page").cast("string")
     item = lambda text, size, y: F.struct(text.alias("text"), F.lit(float(size)).alias("font_size"), F.lit(72.0).alias("x"), F.lit(float(y)).alias("y"))
-    chapter = F.concat(F.lit("Chapter "), (F.floor(F.col("page") / chapter_every) + 1).cast("string"))
+    of_page = lambda text: F.format_string(text, F.col("page").cast("string"))
+    chapter = F.format_string(_CHAPTER, (F.floor(F.col("page") / chapter_every) + 1).cast("string"))
     items = F.array(
-        F.when(F.col("page") % chapter_every == 0, item(chapter, 22, 700)),
-        item(F.concat(F.lit("Page "), i, F.lit(" paragraph one with some body text that fills a line.")), 12, 660),
-        item(F.lit("It continues onto a second line of the paragraph."), 12, 640),
-        item(F.lit("A second paragraph follows after a small gap."), 12, 600),
-        item(F.concat(F.lit("- Bullet number one on page "), i), 12, 560),
-        item(F.concat(F.lit("- Bullet number two on page "), i), 12, 540),
-    )
+        F.when(F.col("page") % chapter_every == 0, item(chapter, 22, 700)), item(of_page(_FIRST), 12, 660), item(F.lit(_FIRST_GOES_ON), 12, 640), item(F.lit(_SECOND), 12, 600),
+        *[item(of_page(f"- {text}"), 12, 560 - 20 * k) for k, text in enumerate(_ITEMS)],
+    )
     rows = spark.range(pages).select(F.col("id").cast("int").alias("page")).select("page", F.posexplode(F.filter(items, lambda x: x.isNotNull())).alias("seq", "e"))
     return rows.select("page", "seq", "e.*")
 
@@ -34,20 +41,12 @@ def item_spans(items: DataFrame, doc_id: int = 0, height: float = 0.945, width:
 
 def book_golden(spark: SparkSession, pages: int, chapter_every: int = 20) -> DataFrame:
     """name, markdown: what the book should become, by the rule it is made by."""
-    i = F.col("id").cast("string")
-    parts = F.concat(
-        F.when(F.col("id") % chapter_every == 0, F.concat(F.lit("# Chapter "), (F.floor(F.col("id") / chapter_every) + 1).cast("string"), F.lit("\n\n"))).otherwise(""),
-        F.lit("Page "), i, F.lit(" paragraph one with some body text that fills a line. It continues onto a second line of the paragraph.\n\n"),
-        F.lit("A second paragraph follows after a small gap.\n\n- Bullet number one on page "), i, F.lit("\n\n- Bullet number two on page "), i, F.lit("\n\n"),
-    )
+    chapter = F.format_string(f"# {_CHAPTER}\n\n", (F.floor(F.col("id") / chapter_every) + 1).cast("string"))
+    page = "\n\n".join([f"{_FIRST} {_FIRST_GOES_ON}", _SECOND, *[f"- {text}" for text in _ITEMS], ""])
+    parts = F.concat(F.when(F.col("id") % chapter_every == 0, chapter).otherwise(""), F.replace(F.lit(page), F.lit("%s"), F.col("id").cast("string")))
     return spark.range(pages).agg(F.array_join(F.sort_array(F.collect_list(F.struct("id", parts.alias("p"))))["p"], "").alias("markdown")).select(F.lit("book_single.md").alias("name"), "markdown")
 
 
-#: The rows of the generated report.
-_REPORT = [("Name", "Qty", "Price"), ("Apples", "10", "2.50"), ("Bananas", "20", "1.75"), ("Cherries", "5", "8.00")]
-_TITLE, _CLOSING = "Inventory Report", "End of table with plain text after."
-
-
 def report_items(spark: SparkSession) -> DataFrame:
     """The items of a page with a title, rows that look like a table, and a closing line."""
     rows = [(_TITLE, 20.0, 740.0)] + [(f"{a:<12}  {b:<6}  {c}", 12.0, 700.0 - 22 * k) for k, (a, b, c) in enumerate(_REPORT)]
