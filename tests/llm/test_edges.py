@@ -36,6 +36,21 @@ def test_language_id(spark, docs):
     assert docs.select(language_id.predict({}, F.col("text")).alias("p")).where("p.lang_pred = 'und'").count() == len(DATA)
 
 
+def test_ties(spark):
+    """Equal sizes go by name, equal texts have equal results, equally rare words decide nothing."""
+    same = {"b": b"the words of a text", "a": b"the words of a text", "c": b"quite other letters xyz"}
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["some words of a text", "some words of a text", "MIT License", "MIT License"])], "doc_id long, text string")
+    told = df.select(language_id.predict(same, F.col("text")).alias("p")).collect()
+    assert [r["p"]["lang_pred"] for r in told] == ["a"] * 4 and {r["p"]["margin"] for r in told} == {0.0} and told[0]["p"]["rejected"]
+    found = {r["doc_id"]: tuple(r)[1:] for r in license_scan.scan(df, license_scan.Index({})).collect()}
+    assert found[0] == found[1] and found[2] == found[3] and found[2][5] == "mit"
+    model = toxicity.train(df.select("doc_id", "text", (F.col("doc_id") > 1).cast("int").alias("label")), min_docs=1, features=7)
+    scores = [r["s"] for r in df.orderBy("doc_id").select(toxicity.score(model, F.col("text")).alias("s")).collect()]
+    assert scores[0] == scores[1] < 0.5 < scores[2] == scores[3]
+    again = toxicity.train(df.select("doc_id", "text", (F.col("doc_id") > 1).cast("int").alias("label")), min_docs=1, features=7)
+    assert again.grams.tolist() == model.grams.tolist()
+
+
 def test_sharding(docs):
     got = sharding.shard(docs, 3).collect()
     assert sorted(r["size"] for r in got) == sorted(len((d[1] or "").encode()) + 16 for d in DATA)
@@ -83,6 +98,17 @@ def test_near_duplicates(docs):
     assert kept.columns == docs.columns and kept.count() == len(DATA) - 1
 
 
+def test_near_duplicates_of_long_texts_in_one_bucket(spark, monkeypatch):
+    """A bucket of long texts that are not linked is indexed in blocks of few of them, and all links are found."""
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 50_000)
+    common = [f"c{k}" for k in range(6000)]
+    own = [[f"o{i}_{k}" for k in range(14_000)] for i in range(12)]
+    texts = [" ".join(common + w) for w in own] + [" ".join(common + own[3][:-40]), " ".join(common + own[7][:-40])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(df).collect()}
+    assert got == {i: i for i in range(12)} | {12: 3, 13: 7}
+
+
 def test_line_dedup(spark, docs):
     data = [(i, "s" if i % 2 else None, f"menu\n own line {i}\n\nmenu ") for i in range(10)] + [(10, "s", None), (11, "s", "menu"), (12, "t", "menu")]
     df = spark.createDataFrame(data, "doc_id long, source string, text string").withColumns({c: F.lit("x") for c in [*CLASH, "n_lines", "N_dropped", "line"]})
