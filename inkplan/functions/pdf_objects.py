@@ -8,6 +8,7 @@ import zlib
 from dataclasses import dataclass, field
 
 from .parse import Unconvertible
+from .pdf_crypt import Handler, Locked
 
 _SPACE = b"\x00\t\n\x0c\r "
 _TOKEN = re.compile(
@@ -40,6 +41,7 @@ class Stream:
     entries: dict
     raw: bytes
     number: int = 0
+    generation: int = 0
 
 
 _WORDS = {b"true": True, b"false": False, b"null": None}
@@ -175,6 +177,8 @@ class Document:
     _places: dict[int, int | tuple[int, int]] = field(default_factory=dict)
     _objects: dict[int, object] = field(default_factory=dict)
     _inner: dict[int, dict[int, object]] = field(default_factory=dict)
+    _handler: Handler | None = None
+    _scanned: bool = False
 
     def __post_init__(self):
         if b"%PDF" not in self.data[:1024]:
@@ -186,9 +190,30 @@ class Document:
         except (ValueError, KeyError, IndexError, TypeError, zlib.error):
             ok = False
         if not ok:
+            self._scanned = True
             self._by_scan()
-        if "Encrypt" in self.trailer:
-            raise Unconvertible("encrypted", "The PDF is protected.")
+        if self.trailer.get("Encrypt") is not None:
+            self._unlock()
+
+    def _unlock(self) -> None:
+        """Files that open without a password are read; others are protected."""
+        try:
+            entries = self._whole(self.trailer["Encrypt"])
+            ids = self.resolve(self.trailer.get("ID")) or [b""]
+            self._handler = Handler(entries, self.resolve(ids[0]))
+        except (Locked, KeyError, TypeError, ValueError, AttributeError, IndexError) as e:
+            raise Unconvertible("encrypted", "The PDF is protected.") from e
+        # what was read so far may have been encrypted
+        self._objects, self._inner = {}, {}
+        if self._scanned:
+            self._by_scan()
+
+    def _whole(self, x, level: int = 0):
+        """An object with all that it refers to."""
+        x = self.resolve(x)
+        if level < 8 and isinstance(x, dict):
+            return {k: self._whole(v, level + 1) for k, v in x.items()}
+        return x
 
     def _by_references(self) -> None:
         at, seen = int(re.findall(rb"startxref\s+(\d+)", self.data[-2048:])[-1]), set()
@@ -260,7 +285,7 @@ class Document:
 
     def _at(self, place: int, number: int = 0):
         lexer = Lexer(self.data, place)
-        if not isinstance(own := lexer.next(), int) or not isinstance(lexer.next(), int) or lexer.next() != b"obj":
+        if not isinstance(own := lexer.next(), int) or not isinstance(generation := lexer.next(), int) or lexer.next() != b"obj":
             raise ValueError("no object here")
         if number and own != number:
             raise ValueError("another object is here")
@@ -278,7 +303,7 @@ class Document:
             end = self.data.find(b"endstream", m.end())
             if end < 0:
                 raise ValueError("a stream has no end")
-        return Stream(value, self.data[m.end() : end], own)
+        return Stream(value, self.data[m.end() : end], own, generation)
 
     def _members(self, number: int) -> dict[int, object]:
         """The objects of an object stream."""
@@ -315,6 +340,8 @@ class Document:
     def decoded(self, stream: Stream) -> bytes:
         """A stream's data behind its filters."""
         data = stream.raw
+        if self._handler and stream.entries.get("Type") != "XRef":
+            data = self._handler.stream(stream.number, stream.generation, data)
         names, details = (self.resolve(stream.entries.get(k)) for k in ("Filter", "DecodeParms"))
         names = names if isinstance(names, list) else [names] if names else []
         details = details if isinstance(details, list) else [details] * len(names)
@@ -324,6 +351,8 @@ class Document:
                 data = _predicted(inflate.decompress(data), entries)
             elif name in ("LZWDecode", "LZW"):
                 data = _predicted(_lzw(data, entries.get("EarlyChange", 1)), entries)
+            elif name == "Crypt":
+                data = stream.raw if entries.get("Name", "Identity") == "Identity" else data
             elif name in ("ASCIIHexDecode", "AHx"):
                 digits = re.sub(rb"[^0-9A-Fa-f]", b"", data.split(b">")[0])
                 data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())

@@ -3,9 +3,11 @@
 import base64
 import io
 import json
+import re
 import time
 import zipfile
 import zlib
+from hashlib import md5
 
 import pytest
 from hypothesis import given, settings
@@ -13,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkplan.config import LayoutConfig
-from inkplan.functions import parse, parse_html, pdf_objects, pdf_text
+from inkplan.functions import parse, parse_html, pdf_crypt, pdf_objects, pdf_text
 from inkplan.functions import text as tx
 from inkplan.functions.html_tree import parse as parse_tree
 from inkplan.operators import detect, evaluate, extract, extract_text, jobs, layout, preview, render, sinks
@@ -399,6 +401,62 @@ def test_pdf_predictors_and_lzw():
     assert pdf_objects._lzw(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01]), 1) == b"-----A---B"
 
 
+def test_ciphers():
+    """Published test vectors."""
+    assert pdf_crypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    block = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for size, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        aes = pdf_crypt.Aes(bytes(range(size)))
+        assert aes.encrypt(block).hex() == want and aes.decrypt(aes.encrypt(block)) == block
+
+
+@pytest.mark.parametrize("method", ["RC4-40", "RC4-128", "AESV2", "AESV3-5", "AESV3-6"])
+@pytest.mark.parametrize("password", [b"", b"secret"])
+def test_encrypted_pdf_files(method, password):
+    """A file that opens without a password is read; one that needs a password is protected."""
+    plain = pdf.write_pdf([[("hidden words", 12.0, 72.0, 700.0)]])
+    numbers = {"RC4-40": (1, 2), "RC4-128": (2, 3), "AESV2": (4, 4), "AESV3-5": (5, 5), "AESV3-6": (5, 6)}
+    version, revision = numbers[method]
+    entries = {"V": version, "R": revision, "O": bytes(range(32)), "P": -44, "Length": 128}
+    cfm = {4: "AESV2", 5: "AESV3"}.get(version)
+    if version == 5:
+        own = bytes(range(100, 132))
+        entries["U"] = pdf_crypt._hash(password, b"check..." , revision) + b"check..." + b"keysalt."
+        entries["UE"] = pdf_crypt.cbc_encrypted(pdf_crypt._hash(password, b"keysalt.", revision), bytes(16), own)
+        key = own
+    else:
+        n = {1: 5, 2: 16, 4: 16}[version]
+        key = md5((password + pdf_crypt.PADDING)[:32] + entries["O"] + (-44 & 0xFFFFFFFF).to_bytes(4, "little") + b"id").digest()
+        for _ in range(50 if revision > 2 else 0):
+            key = md5(key[:n]).digest()
+        key = key[:n]
+        if revision == 2:
+            entries["U"] = pdf_crypt.rc4(key, pdf_crypt.PADDING)
+        else:
+            proof = md5(pdf_crypt.PADDING + b"id").digest()
+            for k in range(20):
+                proof = pdf_crypt.rc4(bytes(x ^ k for x in key), proof)
+            entries["U"] = proof + bytes(16)
+    content = plain[plain.index(b"stream\n") + 7 : plain.index(b"\nendstream")]
+    number = int(re.findall(rb"(\d+) 0 obj\n<< /Length", plain)[0])
+    if version == 5:
+        packed = bytes(16) + pdf_crypt.cbc_encrypted(key, bytes(16), content + bytes([16 - len(content) % 16]) * (16 - len(content) % 16))
+    else:
+        own_key = md5(key + number.to_bytes(3, "little") + bytes(2) + (b"sAlT" if version == 4 else b"")).digest()[: min(16, len(key) + 5)]
+        filled = content + bytes([16 - len(content) % 16]) * (16 - len(content) % 16)
+        packed = bytes(16) + pdf_crypt.cbc_encrypted(own_key, bytes(16), filled) if version == 4 else pdf_crypt.rc4(own_key, content)
+    data = plain.replace(b"/Length %d>>" % len(content), b"/Length %d>>" % len(packed)).replace(b"/Length %d >>" % len(content), b"/Length %d >>" % len(packed)).replace(content, packed)
+    written = b" ".join(b"/%s <%s>" % (k.encode(), v.hex().encode()) if isinstance(v, bytes) else b"/%s %d" % (k.encode(), v) for k, v in entries.items())
+    filters = b" /CF << /StdCF << /CFM /%s >> >> /StmF /StdCF" % cfm.encode() if cfm else b""
+    data = data.replace(b"<< /Size", b"<< /ID [<6964> <6964>] /Encrypt << /Filter /Standard %s%s >> /Size" % (written, filters))
+    if password:
+        with pytest.raises(parse.Unconvertible) as e:
+            pdf.read_pages(data)
+        assert e.value.kind == "encrypted"
+    else:
+        assert [s.text for s in pdf.read_pages(data)[0]] == ["hidden words"]
+
+
 @pytest.mark.parametrize("data", [b"", b"%PDF-1.4", b"%PDF-1.4 1 0 obj << /Type /Catalog >> endobj", b"%PDF-1.4 1 0 obj " + b"[" * 5000, b"%PDF-1.7\nstartxref\n5\n%%EOF", b"PK"])
 def test_damaged_pdf_files(data):
     for read in (pdf.read_pages, pdf.page_count):
