@@ -141,16 +141,20 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("x"))
         least = both.groupBy("a").agg(F.min(key).alias("k")).select(F.col("a").alias("node"), F.least("k", own)["x"].alias("comp"))
         step = written(least, f"{name}-map")
-        if result is None:
+        before = result
+        if before is None:
             result = step
         else:
             nxt = step.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-            result = written(result.join(nxt, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), name)
+            result = written(before.join(nxt, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), name)
         m = step.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
         n = step.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        left = left.join(m, "a").join(n, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-        left = written(left, f"{name}-edges")
+        pairs = left.join(m, "a").join(n, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        pairs = written(pairs, f"{name}-edges")
+        remove(left, before, step if before is not None else None)
+        left = pairs
         turn += 1
+    remove(left)
     return result
 
 
