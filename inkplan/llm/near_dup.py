@@ -296,7 +296,8 @@ def content_classes(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame
     remove(shared)
     # the text of each content in a bucket: that of its least doc_id
     needed = members.select("content").distinct()
-    rep_table = written(rows.join(needed, "content", "left_semi").groupBy("content").agg(F.min("doc_id").alias("doc_id")), "representatives")
+    first = rows.where(F.col("content").isNotNull()).groupBy("content").agg(F.min("doc_id").alias("doc_id"))  # copies meet after each task has only one
+    rep_table = written(first.join(needed, "content", "left_semi"), "representatives")
     ids, rep = small(rep_table.select("doc_id"), 1_000_000), small(rep_table.select(F.col("content").alias("rep"), F.col("doc_id").alias("rep_id")), 1_000_000)
     chosen = plain.join(ids.withColumnRenamed("doc_id", "some_id"), F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi").withColumn("content", _content(F.col("text")))
     texts = chosen.join(rep, (F.col("content") == F.col("rep")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
