@@ -123,6 +123,29 @@ def dedupe_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.dedupe(inputs)
 
 
+@query("select doc_id, text from documents")
+def decode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in UTF-8, with a byte-order mark, or in Latin-1 where that has all characters; in formats of both ways of decoding."""
+    docs = table(spark, sf_dir, "documents")
+    by, utf8 = F.col("doc_id") % 3, F.col("text").cast("binary")
+    latin = F.col("text").rlike(r"\A[\x00-\xff]*\z")
+    content = F.when(by == 0, F.concat(F.lit(b"\xef\xbb\xbf"), utf8)).when((by == 1) & latin, F.encode("text", "ISO-8859-1")).otherwise(utf8)
+    fmt = _pick(F.col("doc_id"), ["text", "csv", "html", "json", "xml"])
+    return files.decoded(docs.select("doc_id", content.alias("content"), fmt.alias("format"))).select("doc_id", "text")
+
+
+@query(
+    """
+select '/in/' || source || '/a b' || doc_id || '.pdf' as path, 'a b' || doc_id || '.pdf' as name from documents where doc_id % 4 <> 0
+"""
+)
+def dropped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of files, plain paths, names that look like web addresses (refused), and web addresses (refused)."""
+    by, n = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    uri = F.concat(F.when(by == 1, "").otherwise("file://"), F.lit("/in/"), "source", F.when(by == 0, "/www.").otherwise("/"), F.lit("a%20b"), n, F.lit(".pdf"))
+    return files.accept_dropped(table(spark, sf_dir, "documents").select(uri.alias("uri")).unionByName(table(spark, sf_dir, "pages").select(F.col("url").alias("uri"))))
+
+
 # --- text
 
 _PARAS = r"""
@@ -156,6 +179,28 @@ def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_markdown(_paragraph_docs(spark, sf_dir))
 
 
+_FIRST_LINES = ["", "# a\n", "", "| a | b |\n", "1) a\n", "12. a\n", "#a\n", "```\n", "+ a\n"]
+
+
+@query(
+    rf"""
+with d as (select doc_id, {_sql_pick("doc_id", _FIRST_LINES)} || replace(text, chr(10), chr(10) || chr(10)) || case when doc_id % 2 = 0 then chr(10) else '' end as t, doc_id % 5 = 1 as named from documents),
+m as (select *, named or regexp_matches(t, '(^|\n)(#{{1,6}} |[-*+] |[0-9]+\. |> |```)') or regexp_matches(t, '(?m)^\|.*\|$') as md from d),
+p as (select doc_id, unnest(regexp_split_to_array(t, '\r?\n\s*\r?\n')) as x, unnest(range(len(regexp_split_to_array(t, '\r?\n\s*\r?\n')))) as k from m where not md),
+q as (select doc_id, k, trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) as x from p),
+r as (select doc_id, string_agg(case when regexp_matches(x, '^([#>*+-]|[0-9]+\.)') then '\' else '' end || replace(x, '`', '\`') || chr(10), chr(10) order by k) as content from q where x <> '' group by doc_id)
+select doc_id, case when not md then coalesce(content, '') when t[-1] = chr(10) then t else t || chr(10) end as content from m left join r using (doc_id)
+"""
+)
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of text, some of which look like Markdown or have such a name, converted."""
+    docs = table(spark, sf_dir, "documents")
+    d = F.col("doc_id")
+    text = F.concat(_pick(d, _FIRST_LINES), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.when(d % 2 == 0, "\n").otherwise(""))
+    name = F.concat(F.lit("d"), d.cast("string"), F.when(d % 5 == 1, ".MD").otherwise(".txt"))
+    return convert(docs.select("doc_id", name.alias("name"), text.cast("binary").alias("content"), F.when(d % 5 == 1, "markdown").otherwise("text").alias("format"))).select("doc_id", "content")
+
+
 _LINE_MARKS = ["# ", "- ", "", "| ", "* ", "", "", "```", "## "]
 _LINE_ENDS = ["", "", "", " |", "", "", "", "", ""]
 _MD = f"""
@@ -410,6 +455,19 @@ def _customer_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("c_custkey,c_name,c_mktsegment\r\n\r\n"), F.array_join("x", ",,\n")).alias("text"))
 
 
+@query(
+    """
+with l as (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as i from documents)
+select doc_id, '| no | a line |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || i || ' | ' || replace(x, '|', chr(92) || '|') || chr(92) || '| "q" |', chr(10) order by i) as raw from l group by doc_id
+"""
+)
+def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file of each document, a row for each line: quotes, commas, bars and line feeds in cells."""
+    row = lambda x, i: F.concat(i.cast("string"), F.lit(',"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('|\n""q"""'))
+    text = F.concat(F.lit('no,a" "line\n'), F.array_join(F.transform(F.split("text", "\n"), row), "\r\n"))
+    return extract.parsed_blocks(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "csv").select("doc_id", "raw")
+
+
 @query("select event_id as doc_id, '```json' || chr(10) || '{' || chr(10) || '  ' || props[2:-2] || chr(10) || '}' || chr(10) || '```' as raw from events")
 def json_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.parsed_blocks(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("text")), "json").select("doc_id", "raw")
