@@ -20,6 +20,7 @@ from inkplan.functions import text as tx
 from inkplan.functions.html_tree import parse as parse_tree
 from inkplan.operators import detect, evaluate, extract, extract_text, jobs, layout, preview, render, sinks
 from inkplan.plans.convert import convert, convert_again
+from inkplan.plans.run import Run
 from inkplan.sources import files, pdf, synth
 
 SPAN = "doc_id long, page int, seq int, text string, x_left double, x_right double, y_bottom double, y_top double, font_size double"
@@ -506,6 +507,35 @@ def test_nearest_rank(spark):
     assert [r["v"] for r in evaluate.nearest_rank(spark.createDataFrame([(1,)] * 18 + [(7,), (9,)], "v int"), [], "v", 0.9).collect()] == [7]
 
 
+def test_runs(spark, tmp_path):
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("a.txt").alias("name"), F.lit(b"x").alias("content"), F.lit("text").alias("format"))
+    run = Run(spark, lambda: convert(rows).write.parquet(f"{tmp_path}/out"))
+    assert run.status == "ready" and run.progress() == 0
+    assert run.start().wait(120) == "done" and run.progress() == 1 and spark.read.parquet(f"{tmp_path}/out").count() == 100
+    with pytest.raises(RuntimeError):
+        run.start()
+    run.cancel()
+    assert run.status == "done"
+    def asleep(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(0.5)
+            yield batch
+
+    slow = lambda: spark.range(64, numPartitions=64).mapInArrow(asleep, "id long").count()
+    late = Run(spark, slow, timeout=2).start()
+    assert late.wait(60) == "timedOut" and late.error is not None
+    stopped = Run(spark, lambda: [slow(), slow()]).start()
+    while stopped.progress() == 0 and stopped.status == "running":
+        time.sleep(0.1)
+    stopped.cancel()
+    assert stopped.wait(60) == "cancelled" and 0 < stopped.progress() < 1
+    failed = Run(spark, lambda: 1 / 0).start()
+    assert failed.wait(60) == "failed" and isinstance(failed.error, ZeroDivisionError)
+    assert spark.range(3).count() == 3
+
+
 def test_streaming(spark, tmp_path):
     from inkplan.streaming.ingest import convert_arrivals
 
