@@ -210,6 +210,11 @@ def test_shards_keep_groups_together(spark):
     hot = cuts.pop(zlib.crc32(b"hot"))
     assert hot["n_rows"] == 4000 and hot["n_shards"] <= 6
     assert len(cuts) == 300 and np.mean([r["n_shards"] for r in cuts.values()]) < 1.1
+    # rows dealt by a hash of their ids cut nearly every group into most of the shards
+    hashed = defaultdict(set)
+    for i, text in data[:3000]:
+        hashed[text].add(crc(i) % 10)
+    assert np.mean([len(x) for x in hashed.values()]) > 5 * np.mean([r["n_shards"] for r in cuts.values()])
 
 
 def test_license_scan_counts_all_places(spark, docs):
