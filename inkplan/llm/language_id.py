@@ -26,6 +26,7 @@ PASSAGE = 160
 #: A text whose second best language needs less than this share more bytes than the best is rejected.
 MIN_MARGIN = 0.004
 UNDETERMINED = "und"
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 PREDICTION = "lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -55,15 +56,17 @@ def train(labelled: DataFrame, docs_per_lang: int = TRAINING_DOCS, dictionary_by
 
 
 @cache
-def _not_letters() -> re.Pattern:
-    """Runs of what is no letter (Unicode category L); word characters that are numbers but no decimal digits are told one by one."""
-    numbers = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[\W\d_{numbers}]+")
+def _numbers() -> frozenset[str]:
+    """Word characters that are neither letters (Unicode category L) nor decimal digits."""
+    return frozenset(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 
 
 def letters(text: str) -> bytes:
     """What of a text is compressed: its words of letters in lower case."""
-    return _not_letters().sub(" ", text.lower()).encode("utf-8", "replace")
+    text = text.lower()
+    if not text.isascii() and (found := _numbers().intersection(text)):
+        text = text.translate(dict.fromkeys(map(ord, found), " "))
+    return _NO_LETTERS.sub(" ", text).encode("utf-8", "replace")
 
 
 class Classifier:
