@@ -120,11 +120,14 @@ def _lines(batches: list[pa.RecordBatch], tolerance: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, [*PAGE, "line_no", "text", "first_x", "y_top", "y_bottom", "font_size"])
 
 
-def mark_headings(lines: DataFrame, stats: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
-    """lines with is_heading, by their document's body_font_size; without one, or with 0, there are no headings."""
+def mark_headings(lines: DataFrame, stats: DataFrame, config: LayoutConfig = LayoutConfig(), how: str = "left") -> DataFrame:
+    """lines with is_heading, by their document's body_font_size; without one, or with 0, there are no headings.
+
+    With how="inner" only lines of documents in stats stay.
+    """
     body = F.coalesce("body_font_size", F.lit(0.0))
     heading = (body > 0) & (F.col("font_size") >= body * config.heading_font_factor)
-    return lines.join(stats.select("doc_id", "body_font_size"), "doc_id", "left").withColumn("is_heading", heading).drop("body_font_size")
+    return lines.join(stats.select("doc_id", "body_font_size"), "doc_id", how).withColumn("is_heading", heading).drop("body_font_size")
 
 
 def paragraph_numbers(lines: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
@@ -164,7 +167,9 @@ def classify(paragraphs: DataFrame, config: LayoutConfig = LayoutConfig()) -> Da
 
 
 def layout_blocks(spans: DataFrame, stats: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
-    """spans and doc_stats to blocks; documents that look scanned have none."""
+    """spans and doc_stats to blocks; documents that look scanned, and those without stats, have none.
+
+    Documents are told apart by their lines, of which there are far fewer than spans: spans are shuffled once, by page.
+    """
     kept = stats.where(~F.col("likely_scanned")) if "likely_scanned" in stats.columns else stats
-    spans = spans.join(kept.select("doc_id"), "doc_id", "left_semi")
-    return classify(paragraph_numbers(mark_headings(group_lines(spans, config), kept, config), config), config)
+    return classify(paragraph_numbers(mark_headings(group_lines(spans, config), kept, config, "inner"), config), config)
