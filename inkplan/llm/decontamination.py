@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_count, small, words, written
+from .common import join_by_count, remove, small, words, written
 
 WINDOW = 8
 #: A document: rows equal in both have equal results.
@@ -95,6 +95,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int |
         met = F.filter("starts", lambda s: fits(s, F.col("o_at"), F.col("second.off"), F.col("n")))
     two = two.select(*DOC, "wid", "n", "second", "rest", met.alias("starts"))
     left = written(one.unionByName(two).where(F.size("starts") > 0).select(*DOC, "wid", "n", "second", "rest", F.explode("starts").alias("start")), "candidates")
+    remove(lists)
     # the other terms, where there are some, and with slop all of them once more to tell exact ones
     again = F.col("rest") if slop is None else F.concat("rest", F.when(F.col("second").isNotNull(), F.array("second")).otherwise(F.array().cast("array<struct<n:bigint,off:int,term:string>>")))
     asked = left.select(*DOC, "wid", "n", "start", F.explode(again).alias("t")).select(*DOC, "wid", "n", "start", "t.term", "t.off")
