@@ -66,8 +66,13 @@ def elapsed(seconds: Column) -> Column:
 
 
 def megabytes(size: Column) -> Column:
-    """One decimal, as in 1.5 MB."""
-    return F.concat(F.format_string("%.1f", size / F.lit(1024 * 1024)), F.lit(" MB"))
+    """One decimal of a number of whole bytes, as in 1.5 MB; a half goes to the even tenth, as printf has it."""
+    n = size.cast("long")
+    part = F.abs(n % (1 << 20)) * 10
+    tenths, rest = F.shiftright(part, 20), part % (1 << 20)
+    tenths = tenths + ((rest > 1 << 19) | ((rest == 1 << 19) & (tenths % 2 == 1))).cast("int")
+    whole = F.abs(n - n % (1 << 20)) / (1 << 20)
+    return F.concat(F.when(n < 0, "-").otherwise(""), (whole + F.when(tenths == 10, 1).otherwise(0)).cast("long").cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" MB"))
 
 
 def percent(fraction: Column) -> Column:

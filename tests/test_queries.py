@@ -27,3 +27,30 @@ def test_query(spark, sf, duck, name):
         want = sorted(map(repr, want))
         assert len(rows) == len(want)
         assert [(a, b) for a, b in zip(rows, want, strict=True) if a != b][:3] == []
+
+
+def rows_of(frame):
+    return sorted(repr(tuple(r)) for r in frame.select(sorted(frame.columns)).collect())
+
+
+def wanted(name, **tables):
+    """The rows of a query's SQL over these files, as rows_of() gives those of the query."""
+    with duckdb.connect() as con:
+        for t, path in tables.items():
+            con.execute(f"create view {t} as select * from '{path}'")
+        columns = sorted(c for c, *_ in con.execute(f"describe {ORACLE_SQL[name]}").fetchall())
+        return sorted(map(repr, con.execute(f"select {', '.join(columns)} from ({ORACLE_SQL[name]})").fetchall()))
+
+
+def written(path, rows, schema):
+    with duckdb.connect() as con:
+        con.execute(f"create table t ({schema})")
+        con.executemany(f"insert into t values ({', '.join('?' * len(rows[0]))})", rows)
+        con.execute(f"copy t to '{path}' (format parquet)")
+    return str(path)
+
+
+def test_sizes_at_halves_of_a_tenth(spark, tmp_path):
+    ids = [0, 1, 262144, 524288, 786432, 1835008, 5000000, 5999999, 6029312, 10**12]
+    events = written(tmp_path / "events.parquet", [(i, 1.5) for i in ids], "event_id bigint, value double")
+    assert rows_of(QUERIES["card_texts"](spark, str(tmp_path))) == wanted("card_texts", events=events)
