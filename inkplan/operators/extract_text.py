@@ -26,12 +26,12 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(parts, trim), lambda p: p != "")
 
 
-def text_block_array(text: Column, name: Column | None = None) -> Column:
+def text_block_array(text: Column, name: Column | None = None, plain: bool = False) -> Column:
     """The blocks of a text as an array of structs (type, level, lines, raw): one raw block of Markdown, or the paragraphs.
 
-    A blank text has none; for a null text the array is null.
+    A blank text has none; for a null text the array is null. A plain text is paragraphs, whatever it looks like.
     """
-    md = looks_like_markdown(text)
+    md = F.lit(False) if plain else looks_like_markdown(text)
     if name is not None:
         md = md | F.coalesce(is_markdown_name(name), F.lit(False))
     nothing = F.lit(None)
@@ -40,8 +40,8 @@ def text_block_array(text: Column, name: Column | None = None) -> Column:
     return F.when(md & ~is_blank(text), F.array(raw)).otherwise(F.transform(paragraphs(text), one))
 
 
-def text_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of ``docs(doc_id, text[, name])``, a row each."""
+def text_blocks(docs: DataFrame, plain: bool = False) -> DataFrame:
+    """Blocks of ``docs(doc_id, text[, name])``, a row each; those of plain texts are paragraphs, whatever they look like."""
     name = F.col("name") if "name" in docs.columns else None
-    each = docs.select("doc_id", F.posexplode(text_block_array(F.col("text"), name)).alias("block_no", "b"))
+    each = docs.select("doc_id", F.posexplode(text_block_array(F.col("text"), name, plain)).alias("block_no", "b"))
     return each.select("doc_id", F.lit(0).alias("page"), "block_no", "b.*")

@@ -54,3 +54,16 @@ def test_sizes_at_halves_of_a_tenth(spark, tmp_path):
     ids = [0, 1, 262144, 524288, 786432, 1835008, 5000000, 5999999, 6029312, 10**12]
     events = written(tmp_path / "events.parquet", [(i, 1.5) for i in ids], "event_id bigint, value double")
     assert rows_of(QUERIES["card_texts"](spark, str(tmp_path))) == wanted("card_texts", events=events)
+
+
+#: Texts that look like Markdown, begin with spaces, are blank or null.
+ODD = [None, "", " ", "\n", "  \n ", " a b", "\n\nx", " \n# y", "- a\n- b", "41. Abc", "a\n12. b", "| a | b |", "a\n| c |", "> q", "```\nx\n```", "+ plus", " the the", "the", "1. ", "#", "# h\nthe text"]
+
+
+def odd_documents(tmp_path):
+    return written(tmp_path / "documents.parquet", [(i, t) for i, t in enumerate(ODD * 11)], "doc_id bigint, text varchar")
+
+
+def test_paragraphs_of_texts_that_look_like_markdown(spark, tmp_path):
+    documents = odd_documents(tmp_path)
+    assert rows_of(QUERIES["text_paragraphs"](spark, str(tmp_path))) == wanted("text_paragraphs", documents=documents)
