@@ -18,9 +18,12 @@ from ..sources.files import decoded
 from ..sources.pdf import Reader, read_pages, scan_spans
 
 
-def text_markdown(docs: DataFrame) -> DataFrame:
-    """doc_id, markdown of ``docs(doc_id, text)``; a blank or null text gives no row. Nothing is shuffled."""
-    blocks = docs.select("doc_id", text_block_array(F.col("text")).alias("blocks"))
+def text_markdown(docs: DataFrame, plain: bool = False) -> DataFrame:
+    """doc_id, markdown of ``docs(doc_id, text)``; a blank or null text gives no row. Nothing is shuffled.
+
+    Texts that look like Markdown are taken as such unless they are plain.
+    """
+    blocks = docs.select("doc_id", text_block_array(F.col("text"), plain=plain).alias("blocks"))
     return blocks.where(F.size("blocks") > 0).select("doc_id", render_blocks(F.col("blocks")).alias("markdown"))
 
 

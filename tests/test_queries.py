@@ -67,3 +67,4 @@ def odd_documents(tmp_path):
 def test_paragraphs_of_texts_that_look_like_markdown(spark, tmp_path):
     documents = odd_documents(tmp_path)
     assert rows_of(QUERIES["text_paragraphs"](spark, str(tmp_path))) == wanted("text_paragraphs", documents=documents)
+    assert rows_of(QUERIES["render_markdown"](spark, str(tmp_path))) == wanted("render_markdown", documents=documents)
