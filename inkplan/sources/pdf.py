@@ -7,6 +7,7 @@ spans of its pages can take its place.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Collection, Iterator
 
@@ -22,6 +23,8 @@ from ..functions.pdf_text import Span, page_spans
 SPANS = "doc_id long, page int, seq int, text string, x_left double, x_right double, y_bottom double, y_top double, font_size double"
 #: What a damaged file makes of a parser.
 _DAMAGE = (zlib.error, ValueError, KeyError, IndexError, TypeError, AttributeError, OverflowError)
+#: Files that one Arrow batch holds at most: a Python worker has a batch of them in its memory.
+FILES_IN_BATCH = 64
 
 
 def page_count(data: bytes) -> int:
@@ -56,21 +59,29 @@ def read_pages(data: bytes) -> list[list[Span] | None]:
 Reader = Callable[[bytes], list[list[Span] | None]]
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """The same rows; from now on Arrow batches of its session hold FILES_IN_BATCH rows at most."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= FILES_IN_BATCH:
+        conf.set(key, FILES_IN_BATCH)
+    return df
+
+
 def probe(inputs: DataFrame) -> DataFrame:
     """Of ``inputs(doc_id, content)``: doc_id, page_count, error_type, error_message; no page is read. Null content is corrupt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int | None, str | None, str | None]] = []
-            for content in batch.column(1).to_pylist():
+            for content in batch.column(1):
                 try:
-                    out.append((page_count(content or b""), None, None))
+                    out.append((page_count(content.as_py() or b""), None, None))
                 except Unconvertible as e:
                     out.append((None, e.kind, str(e)))
             columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "page_count", "error_type", "error_message"])
 
-    return inputs.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, "doc_id long, page_count int, error_type string, error_message string")
+    return few_files(inputs).select(F.col("doc_id").cast("long"), "content").mapInArrow(run, "doc_id long, page_count int, error_type string, error_message string")
 
 
 def line_heights(spans: list[Span]) -> list[float]:
@@ -155,7 +166,7 @@ def write_pdf(
         for text, size, x, y in page:
             if unicode:
                 raw = text.encode("utf-16-be", "surrogatepass")
-                used.update(int.from_bytes(raw[i : i + 2]) for i in range(0, len(raw), 2))
+                used.update(struct.unpack(f">{len(raw) // 2}H", raw))
                 shown = b"<%s>" % raw.hex().encode()
             else:
                 shown = b"(%s)" % re.sub(r"([\\()])", r"\\\1", text).replace("\r", "\\r").encode("cp1252", "replace")

@@ -1,9 +1,12 @@
 """Every query of the core against its SQL, and the shape of those that have none."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
+from inkplan.plans import queries
 from inkplan.plans.queries import ORACLE_SQL, QUERIES
+from inkplan.sources import pdf
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -76,3 +79,15 @@ def test_jobs_of_documents_without_text(spark, sf, tmp_path):
         (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
     got = rows_of(QUERIES["convert_all"](spark, str(tmp_path)))
     assert got == wanted("convert_all", documents=documents, events=f"{sf}/events.parquet", customer=f"{sf}/customer.parquet")
+
+
+def test_files_come_to_python_in_small_batches(spark, sf):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int32())})
+
+    inputs = queries._pdf_inputs(spark, sf)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pdf.probe(inputs)
+    n = [r[0] for r in inputs.select("doc_id", "content").mapInArrow(sizes, "n int").collect()]
+    assert sum(n) == 200 and max(n) <= pdf.FILES_IN_BATCH
