@@ -69,17 +69,14 @@ def extracted(docs: DataFrame, parsers: dict[str, Callable] = PARSERS) -> DataFr
     known = F.coalesce(F.col("format"), F.lit("unknown"))
     if "content" in docs.columns:
         known = F.when(F.col("content").isNull(), "missing").otherwise(known)
-    plain = docs.where(known.isin("text", "markdown"))
-    text, name = F.col("text").cast("string"), F.col("name") if "name" in docs.columns else None
-    blocks, unread = text_block_array(text, name), text.isNull()
-    texts = plain.select(
-        *_keys(docs), F.coalesce(blocks, F.array()).alias("blocks"), F.coalesce(F.size(blocks), F.lit(0)).alias("item_count"),
-        F.when(unread, "corrupt").alias("error_type"), F.when(unread, "Could not read the text file.").alias("error_message"),
-    ).withColumn("item_count", F.greatest("item_count", F.lit(0)))
-    other = docs.where(~known.isin(*parsers, "text", "markdown", "pdf")).select(
-        *_keys(docs), F.array().cast(texts.schema["blocks"].dataType).alias("blocks"), F.lit(0).alias("item_count"), F.lit("unsupported").alias("error_type"), F.lit("This format is not supported.").alias("error_message")
-    )
-    return texts.unionByName(_parsed(docs.where(known.isin(*parsers)), parsers)).unionByName(other)
+    plain, text, name = known.isin("text", "markdown"), F.col("text").cast("string"), F.col("name") if "name" in docs.columns else None
+    blocks, unread = F.when(plain, text_block_array(text, name)), plain & text.isNull()
+    # texts and what is not supported come from one scan of docs, as these may be costly to make
+    others = docs.where(~known.isin(*parsers, "pdf")).select(
+        *_keys(docs), F.coalesce(blocks, F.array()).alias("blocks"), F.greatest(F.coalesce(F.size(blocks), F.lit(0)), F.lit(0)).alias("item_count"),
+        F.when(~plain, "unsupported").when(unread, "corrupt").alias("error_type"), F.when(~plain, "This format is not supported.").when(unread, "Could not read the text file.").alias("error_message"),
+    )
+    return others.unionByName(_parsed(docs.where(known.isin(*parsers)), parsers))
 
 
 def _of_format(docs: DataFrame, fmt: str) -> DataFrame:

@@ -35,13 +35,13 @@ def convert_pdf(inputs: DataFrame, config: LayoutConfig = LayoutConfig(), reader
     """doc_id, name, format, markdown, item_count, failed_pages, body_font_size, error_type, error_message of ``inputs(doc_id, name, format, content)``.
 
     Statistics and layout both need what the reader gives: the files are read once, into a cache that Spark can spill
-    and recompute.
+    and recompute. Names and formats come along with what is read, so that the inputs aren't made once more for them.
     """
     spans, pages, opened = scan_spans(inputs, reader, StorageLevel.DISK_ONLY)
     stats = doc_stats(pages, config)
     scanned = F.col("error_type").isNull() & F.coalesce("likely_scanned", F.lit(False))
     found = opened.join(stats.select("doc_id", "likely_scanned", "body_font_size"), "doc_id", "left").join(render_documents(layout_blocks(spans, stats, config)), "doc_id", "left")
-    return inputs.select(F.col("doc_id").cast("long").alias("doc_id"), "name", "format").join(found, "doc_id", "left").select(
+    return found.select(
         "doc_id", "name", "format", "markdown", F.col("page_count").alias("item_count"), "failed_pages", "body_font_size", F.when(scanned, "noText").otherwise(F.col("error_type")).alias("error_type"),
         F.when(scanned, "The document looks scanned; without text recognition there is nothing to convert.").otherwise(F.col("error_message")).alias("error_message"),
     )

@@ -25,6 +25,8 @@ SPANS = "doc_id long, page int, seq int, text string, x_left double, x_right dou
 _DAMAGE = (zlib.error, ValueError, KeyError, IndexError, TypeError, AttributeError, OverflowError)
 #: Files that one Arrow batch holds at most: a Python worker has a batch of them in its memory.
 FILES_IN_BATCH = 64
+#: Rows of a batch of spans that is sent on.
+ROWS_OUT = 4_096
 
 
 def page_count(data: bytes) -> int:
@@ -102,38 +104,46 @@ def line_heights(spans: list[Span]) -> list[float]:
 
 
 def scan_spans(inputs: DataFrame, reader: Reader = read_pages, keep: StorageLevel | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of ``inputs(doc_id, content)``: spans, light_pages, and outcomes (doc_id, page_count, failed_pages, error_type,
-    error_message). Failed pages count from 1 and have neither spans nor text.
+    """Of ``inputs(doc_id, content[, name, format])``: spans, light_pages, and outcomes (doc_id, name, format, page_count,
+    failed_pages, error_type, error_message), one for each row of inputs. Failed pages count from 1 and have neither spans nor text.
 
     With ``keep`` the rows that all three come from are cached.
     """
-    schema = f"{SPANS}, char_count int, line_heights array<double>, page_count int, failed_pages array<int>, error_type string, error_message string"
+    schema = f"{SPANS}, char_count int, line_heights array<double>, name string, format string, page_count int, failed_pages array<int>, error_type string, error_message string"
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5, pa.int32(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5, pa.int32(), pa.list_(pa.float64()), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string()]
+    made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = (None,) * 6
         for batch in batches:
-            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                nothing = (None,) * 6
+            out: list[tuple] = []
+            for doc_id, content, name, fmt in zip(*batch.columns, strict=True):
+                doc_id, name, fmt = doc_id.as_py(), name.as_py(), fmt.as_py()
                 try:
-                    pages = reader(content or b"")
+                    pages = reader(content.as_py() or b"")
                     failed = [p + 1 for p, spans in enumerate(pages) if spans is None]
-                    out = [(doc_id, None, None, *nothing, None, None, len(pages), failed, None, None)]
+                    out.append((doc_id, None, None, *nothing, None, None, name, fmt, len(pages), failed, None, None))
                     for p, spans in enumerate(pages):
                         own = [(s, *s.box()) for s in spans or [] if s.text not in ("\n", "\r\n")]
                         heights = line_heights([s for s, *_ in own])
-                        out.append((doc_id, p, None, *nothing, sum(len(s.text) for s in spans or []), heights, None, None, None, None))
-                        out += [(doc_id, p, k, s.text, left, right, bottom, top, top - bottom, *(None,) * 6) for k, (s, left, right, bottom, top) in enumerate(own)]
+                        out.append((doc_id, p, None, *nothing, sum(len(s.text) for s in spans or []), heights, *nothing))
+                        out += [(doc_id, p, k, s.text, left, right, bottom, top, top - bottom, *nothing, None, None) for k, (s, left, right, bottom, top) in enumerate(own)]
+                        if len(out) >= ROWS_OUT:
+                            yield made(out)
+                            out = []
                 except Unconvertible as e:
-                    out = [(doc_id, None, None, *nothing, None, None, 0, [], e.kind, str(e))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    out.append((doc_id, None, None, *nothing, None, None, name, fmt, 0, [], e.kind, str(e)))
+            if out:
+                yield made(out)
 
-    rows = inputs.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, schema)
+    given = [F.col(c) if c in inputs.columns else F.lit(None).cast("string").alias(c) for c in ("name", "format")]
+    rows = few_files(inputs).select(F.col("doc_id").cast("long"), "content", *given).mapInArrow(run, schema)
     if keep is not None:
         rows = rows.persist(keep)
     spans = rows.where("seq is not null").select(*[c.split()[0] for c in SPANS.split(", ")])
     pages = rows.where("page is not null and seq is null").select("doc_id", "page", "char_count", "line_heights")
-    return spans, pages, rows.where("page_count is not null").select("doc_id", "page_count", "failed_pages", "error_type", "error_message")
+    return spans, pages, rows.where("page_count is not null").select("doc_id", "name", "format", "page_count", "failed_pages", "error_type", "error_message")
 
 
 def _number(v: float) -> bytes:
@@ -156,7 +166,7 @@ def write_pdf(
     streams: dict[int, bytes] = {}
 
     def stream(number: int, data: bytes, entries: bytes = b"", pack: bool = compress) -> None:
-        data, how = (zlib.compress(data), b" /Filter /FlateDecode") if pack else (data, b"")
+        data, how = (zlib.compress(data, 1), b" /Filter /FlateDecode") if pack else (data, b"")
         streams[number] = b"<< /Length %d%s%s >>\nstream\n%s\nendstream" % (len(data), how, entries, data)
 
     used: set[int] = set()

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from inkplan.plans import queries
+from inkplan.plans.convert import convert
 from inkplan.plans.queries import ORACLE_SQL, QUERIES
 from inkplan.sources import pdf
 
@@ -91,3 +92,20 @@ def test_files_come_to_python_in_small_batches(spark, sf):
     pdf.probe(inputs)
     n = [r[0] for r in inputs.select("doc_id", "content").mapInArrow(sizes, "n int").collect()]
     assert sum(n) == 200 and max(n) <= pdf.FILES_IN_BATCH
+
+
+def test_inputs_are_made_three_times_at_most(spark, tmp_path):
+    """For the PDF reader, for parsers, and for texts with what is not supported; names come along with what is read."""
+    log, data = str(tmp_path / "log"), pdf.write_pdf([[("Rain fell.", 12.0, 72.0, 700.0)]])
+
+    def run(batches):
+        for batch in batches:
+            with open(log, "a") as f:
+                f.write("x\n" * batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data] * batch.num_rows, pa.binary())], ["doc_id", "content"])
+
+    made = spark.range(40).toDF("doc_id").coalesce(1).mapInArrow(run, "doc_id long, content binary")
+    rows = convert(made.selectExpr("doc_id", "content", "concat('d', doc_id) as name", "if(startswith(content, X'25504446'), 'pdf', 'text') as format")).select("doc_id", "name", "format", "content").collect()
+    assert sorted(map(tuple, rows)) == [(i, f"d{i}", "pdf", "Rain fell.\n") for i in range(40)]
+    with open(log) as f:
+        assert len(f.readlines()) <= 3 * 40
