@@ -20,6 +20,8 @@ from ..functions.text import trim
 
 _BULLETS = ["•", "-", "*", "o", "▪", "·", "◦"]
 PAGE = ["doc_id", "page"]
+#: Spans are folded in batches of about so many; Arrow batches may be far smaller where files come in them too.
+GATHERED = 8_192
 
 
 def font_histogram(pages: DataFrame) -> DataFrame:
@@ -59,14 +61,24 @@ def group_lines(spans: DataFrame, config: LayoutConfig = LayoutConfig()) -> Data
     return ordered.mapInArrow(_folder(config.line_tolerance_factor), f"{kinds}, line_no int, text string, first_x double, y_top double, y_bottom double, font_size double")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least GATHERED of them, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if any(b.num_rows for b in held):
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _folder(tolerance: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of batches of sorted spans, batches of their lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of the page that may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _gathered(batches):
             cut = int(_page_starts(batch)[-1])
             if held and not cut and _page(held[-1], held[-1].num_rows - 1) == _page(batch, 0):
                 held.append(batch)

@@ -4,6 +4,7 @@ import duckdb
 import pyarrow as pa
 import pytest
 
+from inkplan.operators import layout
 from inkplan.plans import queries
 from inkplan.plans.convert import convert
 from inkplan.plans.queries import ORACLE_SQL, QUERIES
@@ -109,3 +110,11 @@ def test_inputs_are_made_three_times_at_most(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [(i, f"d{i}", "pdf", "Rain fell.\n") for i in range(40)]
     with open(log) as f:
         assert len(f.readlines()) <= 3 * 40
+
+
+def test_spans_are_gathered_before_they_are_folded():
+    small = [pa.RecordBatch.from_pydict({"n": pa.array([i] * k, pa.int64())}) for i, k in enumerate([0, 64, 0, *[64] * 300, 1])]
+    out = list(layout._gathered(iter(small)))
+    assert [b.num_rows for b in out] == [8192, 8192, 64 * 301 + 1 - 2 * 8192]
+    assert [i for b in out for i in b.column(0).to_pylist()] == [i for b in small for i in b.column(0).to_pylist()]
+    assert list(layout._gathered(iter(small[:1]))) == []
